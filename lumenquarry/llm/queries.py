@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from pyspark.sql import functions as F
+
+from . import exact_dedup, mixing, quality, sharding
+
 from .common import table
 
 
@@ -14,9 +17,14 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.resample(docs.select("doc_id", "text"), labels, weight="log_weight").select("doc_id", F.round("log_weight", 6).alias("log_weight"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), copy="copy_no", rate="rate").select("doc_id", "source", "rate", "copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_exact_dedup, op6_quality, op10_mixing)}
 SQL = {"op3_sharding": sharding.shard_sql(), "op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.mix_sql()}
