@@ -81,17 +81,32 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             many[at[once[at]]] = True
             once[at] = True
-    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [np.packbits(many, bitorder="little").tobytes()]})
+    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "once": [np.packbits(once, bitorder="little").tobytes()], "many": [np.packbits(many, bitorder="little").tobytes()]})
+
+
+def _gathered(hashes: DataFrame, n: int, max_cells: int, *kinds: str):
+    size = size_for(n, max_cells)
+    rows = hashes.mapInArrow(_partial(size), "segment int, kind int, cells binary").groupBy("segment").applyInPandas(_merged, "segment int, once binary, many binary")
+    bits = [np.zeros(size // 8, np.uint8) for _ in kinds]
+    for r in rows.select("segment", *kinds).toLocalIterator():
+        for b, kind in zip(bits, kinds):
+            b[r["segment"] * (SEGMENT // 8) : (r["segment"] + 1) * (SEGMENT // 8)] = np.frombuffer(r[kind], np.uint8)
+    return [hashes.sparkSession.sparkContext.broadcast(b) for b in bits]
 
 
 def repeated(hashes: DataFrame, n: int, max_cells: int = MAX_CELLS):
     """The broadcast filter of hashes that may occur more than once, from the one BIGINT column of ``hashes``."""
-    size = size_for(n, max_cells)
-    rows = hashes.mapInArrow(_partial(size), "segment int, kind int, cells binary").groupBy("segment").applyInPandas(_merged, "segment int, bits binary")
-    bits = np.zeros(size // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        bits[r["segment"] * (SEGMENT // 8) : (r["segment"] + 1) * (SEGMENT // 8)] = np.frombuffer(r["bits"], np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(bits)
+    return _gathered(hashes, n, max_cells, "many")[0]
+
+
+def containing(hashes: DataFrame, n: int, max_cells: int = MAX_CELLS):
+    """The broadcast filter of hashes that may occur."""
+    return _gathered(hashes, n, max_cells, "once")[0]
+
+
+def both(hashes: DataFrame, n: int, max_cells: int = MAX_CELLS):
+    """The broadcast filters of hashes that may occur, and that may occur more than once."""
+    return _gathered(hashes, n, max_cells, "once", "many")
 
 
 def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -101,9 +116,11 @@ def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def maybe_repeated(h: Column, filter_) -> Column:
+def maybe(h: Column, filter_) -> Column:
+    """Whether a BIGINT may be in the broadcast filter; NULL gives anything."""
+
     @F.pandas_udf("boolean")
     def test(s: pd.Series) -> pd.Series:
-        return pd.Series(has(filter_.value, s.to_numpy(np.int64).view(np.uint64)))
+        return pd.Series(has(filter_.value, s.fillna(0).to_numpy(np.int64).view(np.uint64)))
 
     return test(h)

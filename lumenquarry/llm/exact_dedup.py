@@ -30,6 +30,15 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
+def first_row(rows: DataFrame, group: str, names: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Of each group the whole row of the least ``key``, NULL last; then of the least other columns, ``text`` at the end."""
+    fields = [col(c).alias(f"c{i}") for i, c in enumerate(names)]
+    others = [c for c in names if c not in (key, text) and _orderable(rows.schema[c].dataType)]
+    rank = F.struct(col(key).isNull().alias("k0"), col(key).alias("k1"), *[col(c).alias(f"s{i}") for i, c in enumerate([*others, text])])
+    kept = rows.groupBy(col(group).alias("g")).agg(F.min_by(F.struct(*fields), rank).alias("r"))
+    return kept.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def _split(docs: DataFrame, text: str, max_cells: int):
     """Rows whose text may occur again, and the rest."""
     prepare(docs.sparkSession)
@@ -38,18 +47,16 @@ def _split(docs: DataFrame, text: str, max_cells: int):
     keys = docs.where(col(text).isNotNull()).select(key.alias("h"))
     found = bloom.repeated(keys, docs.count(), max_cells)
     (flag,) = fresh(docs, "bloom_repeated")
-    marked = docs.withColumn(h, key).withColumn(flag, bloom.maybe_repeated(F.col(h), found) & col(text).isNotNull())
+    marked = docs.withColumn(h, key).withColumn(flag, bloom.maybe(F.col(h), found) & col(text).isNotNull())
     return marked.where(F.col(flag)).drop(h, flag), marked.where(~F.col(flag)).drop(h, flag)
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_cells: int = bloom.MAX_CELLS) -> DataFrame:
     """One whole row of each group of equal texts."""
     again, rest = _split(docs, text, max_cells)
-    names = docs.columns
-    fields = [col(c).alias(f"c{i}") for i, c in enumerate(names)]
-    rank = F.struct(col(key).isNull().alias("k0"), col(key).alias("k1"), *[col(c).alias(f"s{i}") for i, c in enumerate(names) if _orderable(docs.schema[c].dataType) and c not in (key, text)])
-    kept = again.groupBy(F.sha2(col(text).cast("binary"), 256).alias("g")).agg(F.min_by(F.struct(*fields), rank).alias("r"))
-    return rest.unionByName(kept.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)]))
+    (g,) = fresh(docs, "text_digest")
+    kept = first_row(again.withColumn(g, F.sha2(col(text).cast("binary"), 256)), g, docs.columns, text, key)
+    return rest.unionByName(kept)
 
 
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_cells: int = bloom.MAX_CELLS) -> DataFrame:

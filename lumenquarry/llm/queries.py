@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding
-
+from . import exact_dedup, mixing, quality, sharding, simhash
 from .common import table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.members(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -26,5 +29,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), copy="copy_no", rate="rate").select("doc_id", "source", "rate", "copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_exact_dedup, op6_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_exact_dedup, op6_quality, op10_mixing)}
 SQL = {"op3_sharding": sharding.shard_sql(), "op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.mix_sql()}
