@@ -16,17 +16,21 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 #: Texts differ in length by far: batches that go to Python are bounded in bytes, as memory is.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("-1", "8388608")}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_MARK = "lumenquarry.batches"
 
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package (on a cluster ship it with ``--py-files``).
 
-    Arrow batches get smaller, where the session has Spark's own settings for them.
+    Arrow batches get smaller, once a session, unless its creator set them.
     """
-    for name, (usual, ours) in BATCHES.items():
-        if spark.conf.get(name, usual) in (usual, str(2**63 - 1), str(2**31 - 1), "67108864", "268435456"):
-            spark.conf.set(name, ours)
+    if spark.conf.get(_MARK, None) is None:
+        given = dict(spark.sparkContext.getConf().getAll())
+        for name, value in BATCHES.items():
+            if name not in given:
+                spark.conf.set(name, value)
+        spark.conf.set(_MARK, "set")
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if ROOT not in path.split(":"):
