@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding, simhash
+from . import exact_dedup, mixing, quality, sharding, simhash, substring
 from .common import table
 
 
@@ -25,9 +25,13 @@ def op6_quality(spark, sf_dir):
     return quality.resample(docs.select("doc_id", "text"), labels, weight="log_weight").select("doc_id", F.round("log_weight", 6).alias("log_weight"))
 
 
+def op8_substring(spark, sf_dir):
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), copy="copy_no", rate="rate").select("doc_id", "source", "rate", "copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_exact_dedup, op6_quality, op10_mixing)}
-SQL = {"op3_sharding": sharding.shard_sql(), "op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.mix_sql()}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_exact_dedup, op6_quality, op8_substring, op10_mixing)}
+SQL = {"op3_sharding": sharding.shard_sql(), "op4_exact_dedup": exact_dedup.SQL, "op8_substring": substring.SQL, "op10_mixing": mixing.mix_sql()}
