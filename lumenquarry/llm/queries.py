@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding, simhash, substring
+from . import exact_dedup, mixing, quality, sharding, simhash, substring, toxicity
 from .common import table
 
 
@@ -29,9 +29,14 @@ def op8_substring(spark, sf_dir):
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxic(docs.select("doc_id", "text"), labels).select("doc_id", F.round("toxic_share", 6).alias("toxic_share"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), copy="copy_no", rate="rate").select("doc_id", "source", "rate", "copy_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_exact_dedup, op6_quality, op8_substring, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_sharding, op4_exact_dedup, op6_quality, op8_substring, op9_toxicity, op10_mixing)}
 SQL = {"op3_sharding": sharding.shard_sql(), "op4_exact_dedup": exact_dedup.SQL, "op8_substring": substring.SQL, "op10_mixing": mixing.mix_sql()}
