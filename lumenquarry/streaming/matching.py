@@ -1,8 +1,8 @@
 """Streams of typed JSON messages, matched on topic as they come.
 
 A topic holds one pending message a side; a later one takes its place; when both are there,
-they are emitted and cleared. State expires after a time without messages, so that it stays
-bounded; the original kept it for ever.
+they are emitted and cleared. A pending message expires when the watermark has passed its time
+by ``TTL_MS``, so that state stays bounded.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..operators import match
 
 MESSAGE = "type string, payload string"
+#: How long a message may wait for its match, in event time.
+TTL_MS = 30 * 24 * 3600 * 1000
 OUTPUT = "topic string, seq long, feasibility double, significance double, combined double"
 STATE = "d double, has_d boolean, l double, has_l boolean"
 
@@ -47,7 +49,7 @@ def _match(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iter
             has_d = has_l = False
     if has_d or has_l:
         state.update((d, has_d, lit, has_l))
-        state.setTimeoutDuration(_match.timeout_ms)
+        state.setTimeoutTimestamp(max(int(rows["event_time"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + TTL_MS)
     else:
         state.remove()
     got = pd.DataFrame(out, columns=["topic", "seq", "feasibility", "significance"])
@@ -55,20 +57,21 @@ def _match(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iter
     yield got
 
 
-_match.timeout_ms = 24 * 3600 * 1000
+def match_stream(messages: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Matches of a stream of (topic, seq, side 'data' or 'lit', score, event_time).
 
-
-def match_stream(messages: DataFrame) -> DataFrame:
-    """Matches of a stream of (topic, seq, side 'data' or 'lit', score)."""
-    known = messages.where(F.col("side").isin("data", "lit") & F.col("score").isNotNull() & F.col("topic").isNotNull()).select(F.col("topic").cast("string").alias("topic"), F.col("seq").cast("long").alias("seq"), "side", F.col("score").cast("double").alias("score"))
-    return known.groupBy("topic").applyInPandasWithState(_match, OUTPUT, STATE, "append", "ProcessingTimeTimeout")
+    Messages later than the watermark still take part while their topic's state lives.
+    """
+    known = messages.where(F.col("side").isin("data", "lit") & F.col("score").isNotNull() & F.col("topic").isNotNull() & F.col("event_time").isNotNull())
+    typed = known.select(F.col("topic").cast("string").alias("topic"), F.col("seq").cast("long").alias("seq"), "side", F.col("score").cast("double").alias("score"), F.col("event_time").cast("timestamp").alias("event_time"))
+    return typed.withWatermark("event_time", late).groupBy("topic").applyInPandasWithState(_match, OUTPUT, STATE, "append", "EventTimeTimeout")
 
 
 def from_wire(messages: DataFrame) -> DataFrame:
-    """(topic, seq, side, score) of parsed messages; seq is the payload's, or 0."""
-    p = F.from_json("payload", "topic string, seq long, feasibility_score double, significance_score double")
+    """(topic, seq, side, score, event_time) of parsed messages; seq is the payload's or 0, the time the payload's or now."""
+    p = F.from_json("payload", "topic string, seq long, event_time timestamp, feasibility_score double, significance_score double")
     side: Column = F.when(F.col("type") == "data_result", "data").when(F.col("type") == "lit_result", "lit")
-    return messages.select(side.alias("side"), p.alias("p")).where("side is not null").select(F.col("p.topic").alias("topic"), F.coalesce("p.seq", F.lit(0)).alias("seq"), "side", F.when(F.col("side") == "data", F.col("p.feasibility_score")).otherwise(F.col("p.significance_score")).alias("score"))
+    return messages.select(side.alias("side"), p.alias("p")).where("side is not null").select(F.col("p.topic").alias("topic"), F.coalesce("p.seq", F.lit(0)).alias("seq"), "side", F.when(F.col("side") == "data", F.col("p.feasibility_score")).otherwise(F.col("p.significance_score")).alias("score"), F.coalesce("p.event_time", F.current_timestamp()).alias("event_time"))
 
 
 def rates(events: DataFrame, ts: str = "ts", late: str = "10 minutes", window: str = "10 seconds", slide: str = "2 seconds", seconds: int = 10) -> DataFrame:
@@ -96,6 +99,6 @@ def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{root}/match-{uuid.uuid4().hex}"
     e = event_stream(spark, sf_dir)
     side = F.when(F.col("event_type") == "view", "data").when(F.col("event_type") == "click", "lit")
-    messages = e.select(F.col("user_id").alias("topic"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), side.alias("side"), F.col("value").alias("score"))
+    messages = e.select(F.col("user_id").alias("topic"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), side.alias("side"), F.col("value").alias("score"), F.col("ts").cast("timestamp").alias("event_time"))
     run_to_end(match_stream(messages), f"{at}/out", f"{at}/state")
     return spark.read.schema(OUTPUT).parquet(f"{at}/out")
