@@ -244,7 +244,7 @@ def sparkline(spark, sf_dir):
 
 def enrich_left_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", "source", F.col("quality").cast("bigint").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("bigint").alias("toxic"))
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", "source", F.coalesce("quality", F.lit(-1)).cast("bigint").alias("quality"), F.coalesce("toxic", F.lit(0)).cast("bigint").alias("toxic"))
 
 
 def label_clean(spark, sf_dir):

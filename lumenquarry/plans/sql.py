@@ -114,7 +114,7 @@ SQL = {
         k AS (SELECT *, min(v) OVER (PARTITION BY user_id) AS lo, max(v) OVER (PARTITION BY user_id) AS hi, count(*) OVER (PARTITION BY user_id) AS c FROM n WHERE back <= 24),
         b AS (SELECT *, substr(' ▁▂▃▄▅▆▇█', floor((v - lo) / (hi - lo + 1e-9) * 7)::INT + 2, 1) AS bar FROM k)
         SELECT user_id, CASE WHEN max(hi) - max(lo) < 1e-9 THEN repeat('█', count(*)::INT) ELSE rpad(string_agg(bar, '' ORDER BY ts, event_id), 24, ' ') END AS bars FROM b GROUP BY user_id""",
-    "enrich_left_join": "SELECT d.doc_id, lang, source, quality::BIGINT AS quality, coalesce(toxic, 0)::BIGINT AS toxic FROM documents d LEFT JOIN labels USING (doc_id)",
+    "enrich_left_join": "SELECT d.doc_id, lang, source, coalesce(quality, -1)::BIGINT AS quality, coalesce(toxic, 0)::BIGINT AS toxic FROM documents d LEFT JOIN labels USING (doc_id)",
     "label_clean": rf"""WITH t AS (SELECT doc_id, {_SENT60} AS s FROM documents),
         l AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '"' || s || '",1' WHEN 1 THEN s || ',2' WHEN 2 THEN '# ' || s WHEN 3 THEN replace(s, ',', ';') WHEN 4 THEN chr(65279) || s || ' , 0 ' || chr(13) ELSE s || ',' END AS line FROM t),
         c AS (SELECT doc_id, rtrim(replace(line, chr(65279), ''), chr(13) || chr(10)) AS line FROM l),
