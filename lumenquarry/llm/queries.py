@@ -13,15 +13,15 @@ def op1_simhash(spark, sf_dir):
     return simhash.members(table(spark, sf_dir, "documents"))
 
 
-@F.pandas_udf("binary")
-def _voice(texts: pd.Series) -> pd.Series:
+def _voices(texts: pd.Series) -> pd.Series:
     return texts.map(audio.voiced)
 
 
 def op2_audio(spark, sf_dir):
     """Every turn of the conversations, voiced by a stand-in, as the tables hold no recordings."""
     turns = table(spark, sf_dir, "conversations")
-    return audio.audio_features(turns.select("conv_id", "turn", _voice("text").alias("audio")))
+    voice = F.pandas_udf(_voices, "binary")
+    return audio.audio_features(turns.select("conv_id", "turn", voice("text").alias("audio")))
 
 
 def op3_sharding(spark, sf_dir):

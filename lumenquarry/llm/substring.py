@@ -137,12 +137,12 @@ def _spans(places: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", max_cells: int = MAX_CELLS) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", max_cells: int = MAX_CELLS, rounds: int | None = None) -> DataFrame:
     """(doc_id, start_word, end_word): the spans of words (from 0, end excluded) that occur in other documents too."""
     prepare(docs.sparkSession)
     own = docs.select(col(text).alias("text"), col(key).cast("bigint").alias("doc_id")).where("text is not null and doc_id is not null")
     n = own.select((F.length("text") / 50 + 1).cast("bigint").alias("n")).agg(F.sum("n")).first()[0] or 0  # about the blocks, or more
-    rounds = max(1, -(-n * bloom.CELLS_PER_KEY // (2 * max_cells)))
+    rounds = rounds or max(1, -(-n * bloom.CELLS_PER_KEY // (2 * max_cells)))
     filters = [tuple(bloom.both(own.select("text").mapInArrow(_blocks(rounds, r), "h long"), n // rounds, max_cells)) for r in range(rounds)]
     found = own.mapInArrow(_extend(filters, rounds), "h long, doc_id long, rest long").repartition("h").mapInArrow(_confirm, "doc_id long, places array<int>")
     spans = F.pandas_udf(_spans, "array<struct<start_word:int,end_word:int>>")
