@@ -7,7 +7,7 @@ raw one's on all documents. A document's log weight is the sum over its n-grams
 k are taken, which samples k documents without replacement in proportion to their weights.
 
 k is a parameter. Where it is not given, it is calibrated: the cut is put where it best
-separates the labelled texts, and k is the number of documents of the whole table that
+separates labelled texts that the target's model hasn't seen (a quarter of them; all, if those are of one kind), and k is the number of documents of the whole table that
 reach it; the top k are then the documents at or above the cut. With a given k the cut is
 the exact k-th largest key, found by a histogram of all keys and a look into one of its bins.
 
@@ -36,6 +36,8 @@ from .common import col, fresh, prepare, staged, unit
 from .textops import U, hashes, mix, slices, tokens
 
 BUCKETS, LABELLED, SEED, PRIOR = 1 << 16, 20_000, 6, 0.5
+#: One labelled text in so many is left out of the target and calibrates the cut.
+UNSEEN = 4
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int = S
     prepare(docs.sparkSession)
     known = labelled_texts(docs, labels, "quality", limit, text, key)
     raw = counts(docs.select(col(text)))
-    target = counts(known.where("label = 1").select("text"))
+    # texts that the target was fitted on score higher than others, so the cut comes from texts it hasn't seen
+    known = known.withColumn("unseen", F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(UNSEEN)) == 0)
+    if known.where("unseen").select("label").distinct().count() < 2:
+        known = known.withColumn("unseen", F.lit(None).cast("boolean"))
+    target = counts(known.where("label = 1 and coalesce(not unseen, true)").select("text"))
     ratio = log_ratio(target, raw) if target.any() else np.zeros(BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    got = known.select("label", (log_weight(F.col("text"), shared) + gumbel(F.col("id"), seed)).alias("at")).toPandas()
+    got = known.where("coalesce(unseen, true)").select("label", (log_weight(F.col("text"), shared) + gumbel(F.col("id"), seed)).alias("at")).toPandas()
     kinds = got["label"].eq(1).nunique()
     return ratio, best_cut(got["at"].to_numpy(np.float64), got["label"].to_numpy()) if kinds == 2 else -np.inf
 
