@@ -27,6 +27,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,9 +241,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", model: str = voca
     shared = df.sparkSession.sparkContext.broadcast(vocabulary.load(model))
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             lists = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in s]
             n = np.array([x.size for x in lists], np.int64)

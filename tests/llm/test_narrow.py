@@ -209,11 +209,11 @@ def test_toxicity_on_held_out_labels(spark):
 
 def test_windows_cover_the_whole_text():
     model = toxicity.Model(b"ordinary words of a text " * 8, b" dreadful ", 2, 0.1)
-    rng = random.Random(4)
-    for at in (0, 30, 61, 62, 63, 64, 100, 200):
-        text = (words(rng, 60)[:at].ljust(at) + " Dreadful " + words(rng, 30)).encode()
+    usual = "ordinary words of a text "
+    for at in (0, 30, 43, 44, 45, 59, 60, 61, 100, 125):
+        text = ((usual * 5)[:at] + " Dreadful " + usual * 3).encode()
         saved, row = toxicity.lengths(np.frombuffer(text, np.uint8), np.array([0, len(text)]), model.compressors())
-        assert saved.max() >= 2 and (row == 0).all()
+        assert saved.max() >= 2 and saved.min() >= 0 and (row == 0).all()
 
 
 def test_toxicity_of_awkward_rows(spark):
@@ -285,7 +285,7 @@ def test_spans_and_shapes():
 
 def test_audio_rows_and_tensors(spark, tmp_path):
     good = audio.write_wav(np.concatenate([np.zeros(3000), tone(0.6, 500, 8000), np.zeros(3000)]), 8000)
-    df = spark.createDataFrame([(1, good, None), (1, good, None), (2, None, "n"), (3, b"", "e"), (4, b"RIFFjunk", "j"), (5, audio.write_wav(np.zeros(9000), 8000), "silent"), (None, good[:5000], "cut")], "id long, audio binary, c0 string")
+    df = spark.createDataFrame([(1, good, None), (1, good, None), (2, None, "n"), (3, b"", "e"), (4, b"RIFFjunk", "j"), (5, audio.write_wav(np.zeros(9000), 8000), "silent"), (None, good[:9000], "cut")], "id long, audio binary, c0 string")
     out = audio.audio_features(df)
     rows = out.collect()
     assert {r["id"] for r in rows} == {1, None} and out.columns[:2] == ["id", "c0"]
