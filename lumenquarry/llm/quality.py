@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import col, fresh, prepare, staged, unit
 from .textops import U, hashes, mix, slices, tokens
 
-BUCKETS, LABELLED, SEED, PRIOR = 1 << 16, 20_000, 6, 0.5
+BUCKETS, LABELLED, SEED, PRIOR = 1 << 16, 20_000, 6, 5.0
 #: One labelled text in so many is left out of the target and calibrates the cut.
 UNSEEN = 4
 
@@ -67,10 +67,15 @@ def counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p_target - log p_raw by bucket, each smoothed by the share that the raw text has of the bucket."""
+    """log p_target - log p_raw by bucket.
+
+    The target's share of a bucket is the raw text's, times (t + PRIOR) / (e + PRIOR), where t
+    is the target's count and e what it would be if the target were like the raw text (the
+    mean under a Gamma prior): what is too rare to tell says nothing either way.
+    """
     base = (raw + 1) / (raw.sum() + BUCKETS)
-    p = (target + PRIOR * BUCKETS * base) / (target.sum() + PRIOR * BUCKETS)
-    return np.log(p) - np.log(base)
+    p = base * (target + PRIOR) / (base * target.sum() + PRIOR)
+    return np.log(p / p.sum()) - np.log(base)
 
 
 def log_weight(text: Column, ratio) -> Column:
