@@ -52,6 +52,8 @@ def _match(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iter
         state.setTimeoutTimestamp(max(int(rows["event_time"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + TTL_MS)
     else:
         state.remove()
+    if not out:
+        return
     got = pd.DataFrame(out, columns=["topic", "seq", "feasibility", "significance"])
     got["combined"] = (0.6 * got["feasibility"] + 0.4 * got["significance"]).round(3)
     yield got
