@@ -13,8 +13,10 @@ compares an occurrence with all others of the passage at once, so a passage that
 of documents share costs no pairs. Neighbouring ones join to maximal spans. What the Bloom
 filter lets pass wrongly costs rows, but no result.
 
-The index takes 16 bits a block, up to ``max_cells`` bits for a filter; a larger corpus is
-done with several filters, each for one range of hashes and built by a pass of its own.
+The index takes 16 bits a block, up to ``max_cells`` bits for a filter. For a larger corpus
+there are several filters, each for one range of hashes; the block hashes are written once to
+the shared folder to build them. ``HELD`` of them at a time are probed by a pass of all
+windows, so a task's memory stays bounded, and the passes' hits are joined.
 
 Defined cases: NULL, empty and short texts (under 50 words) have no repeats; rows with a
 NULL doc_id are left out; a repeat within one document alone is none, also if the document
@@ -35,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import col, prepare
+from .common import col, prepare, staged
 from .textops import RUN, U, hashes, mix, slices, tokens, windows
 
 BLOCK, LENGTH = 25, 50
 MAX_CELLS = 1 << 28
+#: Pairs of filters that a task holds at once, 64 MiB each at most.
+HELD = 4
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,15 +53,20 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return hashes(data, start, end), row, np.arange(row.size) - first[row]
 
 
-def _blocks(rounds: int, r: int):
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, _, data, off in slices(b.column(0)):
+            h, row, at = _words(data, off)
+            w = windows(h, BLOCK)
+            own = (at[: w.size] % BLOCK == 0) & (row[: w.size] == row[BLOCK - 1 :]) if w.size else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(w[own].view(np.int64))], ["h"])
+
+
+def _of_turn(rounds: int, r: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, off in slices(b.column(0)):
-                h, row, at = _words(data, off)
-                w = windows(h, BLOCK)
-                own = (at[: w.size] % BLOCK == 0) & (row[: w.size] == row[BLOCK - 1 :]) if w.size else np.zeros(0, bool)
-                w = w[own]
-                yield pa.RecordBatch.from_arrays([pa.array(w[_turn(w, rounds) == r].view(np.int64))], ["h"])
+            h = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(h[_turn(h.view(U), rounds) == r])], ["h"])
 
     return run
 
@@ -67,10 +76,10 @@ def _turn(h: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def _hits(w: np.ndarray, same: np.ndarray, at: np.ndarray, filters, rounds: int) -> np.ndarray:
-    """Places of the windows that hit the filters [(any, many), one pair a round]."""
+    """Places of the windows that hit the filters {round: (any, many)}; those of other rounds don't."""
     out = []
     turn = _turn(w, rounds) if rounds > 1 else None
-    for r, (some, many) in enumerate(filters):
+    for r, (some, many) in filters.items():
         where = np.flatnonzero(same if turn is None else same & (turn == r))
         block = at[where] % BLOCK == 0
         ok = np.zeros(where.size, bool)
@@ -143,8 +152,15 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", max_cells:
     own = docs.select(col(text).alias("text"), col(key).cast("bigint").alias("doc_id")).where("text is not null and doc_id is not null")
     n = own.select((F.length("text") / 50 + 1).cast("bigint").alias("n")).agg(F.sum("n")).first()[0] or 0  # about the blocks, or more
     rounds = rounds or max(1, -(-n * bloom.CELLS_PER_KEY // (2 * max_cells)))
-    filters = [tuple(bloom.both(own.select("text").mapInArrow(_blocks(rounds, r), "h long"), n // rounds, max_cells)) for r in range(rounds)]
-    found = own.mapInArrow(_extend(filters, rounds), "h long, doc_id long, rest long").repartition("h").mapInArrow(_confirm, "doc_id long, places array<int>")
+    hashes_of = own.select("text").mapInArrow(_blocks, "h long")
+    if rounds > 1:
+        hashes_of = staged(hashes_of, "blocks")  # the texts are read for them once
+    found = None
+    for first in range(0, rounds, HELD):
+        filters = {r: tuple(bloom.both(hashes_of if rounds == 1 else hashes_of.mapInArrow(_of_turn(rounds, r), "h long"), n // rounds, max_cells)) for r in range(first, min(rounds, first + HELD))}
+        part = own.mapInArrow(_extend(filters, rounds), "h long, doc_id long, rest long")
+        found = part if found is None else found.union(part)
+    found = found.repartition("h").mapInArrow(_confirm, "doc_id long, places array<int>")
     spans = F.pandas_udf(_spans, "array<struct<start_word:int,end_word:int>>")
     return found.groupBy("doc_id").agg(F.collect_list("places").alias("places")).select("doc_id", F.explode(spans("places")).alias("s")).select("doc_id", F.col("s.start_word").cast("bigint").alias("start_word"), F.col("s.end_word").cast("bigint").alias("end_word"))
 

@@ -165,8 +165,9 @@ def brute_spans(rows):
     return out
 
 
-@pytest.mark.parametrize("rounds", [None, 3])
-def test_repeats_against_brute_force(spark, rounds):
+@pytest.mark.parametrize(("rounds", "held"), [(None, 4), (3, 4), (5, 2)])
+def test_repeats_against_brute_force(spark, rounds, held, monkeypatch):
+    monkeypatch.setattr(substring, "HELD", held)
     rng = random.Random(7)
     shared = [words(rng, n).split() for n in (49, 50, 51, 75, 200)]
     rows = []
