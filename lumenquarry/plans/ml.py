@@ -36,7 +36,7 @@ def report(df: DataFrame, label: str = "label", prediction: str = "prediction",
     n = lambda c: F.count_if(c)
     counts = df.agg(n(y & p).alias("tp"), n(~y & p).alias("fp"), n(y & ~p).alias("fn"), n(~y & ~p).alias("tn"))
     per = df.groupBy(F.col(score).alias("s")).agg(n(y).alias("pos"), n(~y).alias("neg"))
-    # 256 ranges of scores are sorted apart, then shifted by what lies below them
+    # 64 ranges of scores are sorted apart, then shifted by what lies below them
     parts = per.repartitionByRange(64, "s").withColumn("part", F.spark_partition_id())
     within = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("below", F.coalesce(F.sum("neg").over(within), F.lit(0)))
