@@ -92,7 +92,7 @@ SECTION_NAMES = list(dict.fromkeys(s for s, _ in SECTIONS))
 CATEGORIES = [("mechanism", "mechanism|oligomer"), ("structure", "structural|structure"), ("regulation", "post-translational|regulat"), ("validation", "replicate|validate"), ("generalization", "generaliz|other species")]
 CATEGORY_NAMES = [c for c, _ in CATEGORIES] + ["unspecified"]
 PROTOTYPES = {
-    "future": ["future studies should examine", "future work will be important to", "further research is needed to", "further investigation is warranted", "it remains to be determined whether", "it is unclear whether and requires study", "additional experiments are required to clarify", "this question remains open", "this should be validated in future studies", "the next step is to test"],
+    "future": ["future studies should examine", "future work will be important to", "further research is needed to", "further investigation is warranted", "it remains to be determined whether", "additional experiments are required to clarify", "this question remains open", "it is unclear whether and requires study", "this should be validated in future studies", "the next step is to test"],
     "limit": ["a limitation of this study is", "generalizability is limited", "the small sample size limits", "there is a risk of bias", "we could not control for confounding", "results should be interpreted with caution"],
     "rq": ["our central research question is", "the goal of this study is", "we ask whether", "we aim to determine whether", "we investigate whether"],
 }

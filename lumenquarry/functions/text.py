@@ -12,7 +12,7 @@ from . import lexicon as L
 
 SENTENCE = r"[^.!?]*[.!?]|[^.!?]+"
 LINE = r"\R|[\x1c-\x1e]"
-REFERENCE = r"doi:|https?://|\b(?:et al\.|vol\.|pp\.|issn|isbn)\b|\([0-9]{4}\)"
+REFERENCE = r"doi:|https?://|\b(?:isbn|issn|pp\.|vol\.|et al\.)\b|\([0-9]{4}\)"
 ABBREVIATION = r"\b(Dr|Mr|Mrs|Ms|Prof|Fig|Figs|Eq|No|Vol|vs|cf|al|etc|approx|St|e\.g|i\.e)\."
 
 
@@ -41,7 +41,7 @@ def strip_tags(s: Column) -> Column:
 
 def dedup_key(s: Column, wide: bool = False) -> Column:
     """Lower case, citation numbers in brackets left out, white space collapsed."""
-    bare = F.regexp_replace(F.lower(s), _re(r"\(\s*\d{1,4}\s*\)|\[\s*\d{1,4}\s*\]", wide), " ")
+    bare = F.regexp_replace(F.lower(s), _re(r"\[\s*[\d]{1,4}\s*\]|\(\s*[\d]{1,4}\s*\)", wide), " ")
     return strip(F.regexp_replace(bare, _re(r"\s+", wide), " "), wide)
 
 

@@ -54,7 +54,7 @@ rq1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY sent_inde
 rq AS (SELECT doc_id, sent_index, sent, CASE WHEN ends_with(regexp_replace(sent, '\\.$', ''), '?') THEN regexp_replace(sent, '\\.$', '') ELSE regexp_replace(sent, '\\.$', '') || '?' END AS question FROM rq1 WHERE nth = 1)"""
 LIM = f"""{sents("ls", "bucket", "l")},
 lim AS (SELECT doc_id, sent_index, sent AS text FROM ls WHERE {cue("lower(sent)", L.LIMIT)})"""
-_REF = r"(regexp_matches(lower({0}), 'doi:|https?://|\b(?:et al\.|vol\.|pp\.|issn|isbn)\b|\([0-9]{{4}}\)') OR len(regexp_extract_all({0}, '[0-9]+')) >= 6)"
+_REF = r"(regexp_matches(lower({0}), 'doi:|https?://|\b(?:isbn|issn|pp\.|vol\.|et al\.)\b|\([0-9]{{4}}\)') OR len(regexp_extract_all({0}, '[0-9]+')) >= 6)"
 _CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower(sent), {q(p)}) THEN {q(c)}" for c, p in L.CATEGORIES) + " ELSE 'unspecified' END"
 FD = f"""{sents("fs", "seeded", "text")},
 fd0 AS (SELECT *, {key("sent")} AS key, {_REF.format("sent")} AS is_ref FROM fs WHERE length(sent) BETWEEN 40 AND 350),
@@ -112,7 +112,7 @@ SQL = {
     "event_counts": "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1",
     "sparkline": """WITH n AS (SELECT user_id, ts, event_id, round(value, 4) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events),
         k AS (SELECT *, min(v) OVER (PARTITION BY user_id) AS lo, max(v) OVER (PARTITION BY user_id) AS hi, count(*) OVER (PARTITION BY user_id) AS c FROM n WHERE back <= 24),
-        b AS (SELECT *, substr(' ▁▂▃▄▅▆▇█', floor((v - lo) / (hi - lo + 1e-9) * 7)::INT + 2, 1) AS bar FROM k)
+        b AS (SELECT *, substr(' ▁▂▃▄▅▆▇█', floor(((v) - lo) / (hi - lo + 1e-9) * 7)::INT + 2, 1) AS bar FROM k)
         SELECT user_id, CASE WHEN max(hi) - max(lo) < 1e-9 THEN repeat('█', count(*)::INT) ELSE rpad(string_agg(bar, '' ORDER BY ts, event_id), 24, ' ') END AS bars FROM b GROUP BY user_id""",
     "enrich_left_join": "SELECT d.doc_id, lang, source, coalesce(quality, -1)::BIGINT AS quality, coalesce(toxic, 0)::BIGINT AS toxic FROM documents d LEFT JOIN labels USING (doc_id)",
     "label_clean": rf"""WITH t AS (SELECT doc_id, {_SENT60} AS s FROM documents),

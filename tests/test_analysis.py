@@ -9,7 +9,7 @@ from lumenquarry.plans import analyze, ml
 from lumenquarry.sources import labels, papers
 from lumenquarry.streaming import matching
 
-PAPER = {"title": "A", "abstract": "We investigate whether X affects Y.", "text": "Future work should examine this mechanism. This study has limitations such as small sample sizes.", "doi": ""}
+PAPER = {"doi": "", "title": "A", "text": "Future work should examine that mechanism. Our trial has limitations like a small sample.", "abstract": "We ask whether sleep alters recall."}
 
 
 def sentences(spark, *texts):
@@ -23,16 +23,16 @@ def test_golden_paper(spark, tmp_path):
     assert (good.count(), bad.count()) == (1, 1)
     a = analyze.analyze(papers.load(spark, str(path)))
     q = a.questions.collect()
-    assert [(r["question"], r["evidence"]["sent_index"], r["confidence"]) for r in q] == [("We investigate whether X affects Y?", 0, 0.8)]
+    assert [(r["question"], r["evidence"]["sent_index"], r["confidence"]) for r in q] == [("We ask whether sleep alters recall?", 0, 0.8)]
     assert a.limitations.count() == 2 and a.rejected.count() == 1
     f = a.future.first()
-    assert (f["text"], f["sent_index"], f["category"], f["confidence"]) == ("Future work should examine this mechanism.", 1, "mechanism", 0.8)
+    assert (f["text"], f["sent_index"], f["category"], f["confidence"]) == ("Future work should examine that mechanism.", 1, "mechanism", 0.8)
     assert sorted(round(r["priority"], 2) for r in steps.top_steps(a.steps).collect()) == [0.42, 0.42]
     m = a.metrics(1.0).first()
     assert (m["docs"], m["rqs"], m["steps"], m["future"]) == (1, 1, 2, 1)
     a.write(str(tmp_path / "out"))
     text = a.summary().first()["markdown"]
-    assert text.startswith("# A\n## Explicit Research Questions\n1. We investigate whether X affects Y?") and "1. [mechanism] Future work" in text
+    assert text.startswith("# A\n## Explicit Research Questions\n1. We ask whether sleep alters recall?") and "1. [mechanism] Future work" in text
     assert spark.read.json(str(tmp_path / "out/future_directions.jsonl")).count() == 1
 
 
