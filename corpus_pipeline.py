@@ -7,7 +7,7 @@ the next one's ``docs``; ``run`` does so in the folder that all executors share.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenquarry.llm import exact_dedup, mixing, pieces, quality, simhash
@@ -35,8 +35,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text with merge-dropout (operator 5)."""
-    return pieces.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids")
+    """The ids of each text with merge-dropout (operator 5); copies that mixing made are numbered, so each has its own."""
+    copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    numbered = docs.select("doc_id", "source", "text", F.row_number().over(copies).alias("copy_no"))
+    return pieces.encode(numbered, copy="copy_no").select("doc_id", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("encode", encode)]

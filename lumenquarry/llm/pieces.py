@@ -3,21 +3,24 @@
 A pre-token is segmented by merges as the vocabulary ranks them: an agenda holds a candidate
 for each two neighbours that make a piece, the best score first and the leftmost of equals.
 When a candidate comes up, it is skipped with probability ``dropout``, decided by a keyed hash
-of (seed, pre-token, variant, borders of the two parts); what is skipped never merges, what
-merges makes new candidates with its neighbours. The variant, one of ``VARIANTS``, is hashed
-from (seed, doc_id, place of the pre-token in the text), so a word is segmented in varying ways
-across texts and places, the same in every run. A dropout of 0 gives the model's own ids.
+of (seed, doc_id, place of the pre-token in the text, pre-token, borders of the two parts);
+what is skipped never merges, what merges makes new candidates with its neighbours. So every
+occurrence of a word is segmented by itself, the same in every run. Where documents are
+repeated, as by mixing, the copy's number is part of the key if a column has it (``copy``).
+A dropout of 0 gives the model's own ids.
 
 Decoding joins the pieces' bytes and drops the blank put before: for every text and dropout
 it returns the text itself, as no normalisation takes place and bytes stand for unknown
 characters (and for the model's meta symbol).
 
-Distinct (pre-token, variant) pairs of a slice are segmented together: every round merges the
-top of each one's agenda at once, in vectors. Long ones (over ``LONG`` characters) go through
-the agenda as a heap. One narrow pass, no shuffle.
+Occurrences share only what they decide alike: each tests the merges of its word by its own
+key, and the first one that it skips leads on to the merges that follow then. These are found
+once for a word and the merges skipped, many at once in vectors, and kept for later slices.
+Long pre-tokens (over ``LONG`` characters) go through the agenda as a heap, each by itself.
+One narrow pass, no shuffle.
 
 Defined cases: NULL and empty texts have no ids and decode to the empty text; a NULL doc_id
-is hashed as 0, and so is one that isn't an integer by its string; repeated rows have equal ids; an empty
+is hashed as 0, and so is one that isn't an integer by its string; repeated rows have equal ids without ``copy``; an empty
 table gives an empty one; columns of ``docs`` pass through, and a name that is taken is refused.
 """
 
@@ -38,7 +41,8 @@ from .common import col, prepare
 from .textops import U, mix, ragged, seed64, slices
 from .vocabulary import UNKNOWN, PreTokens, Vocabulary
 
-DROPOUT, VARIANTS, SEED, LONG = 0.1, 8, 5, 48
+#: Borders of pre-tokens of up to LONG characters take 6 bits each. Nodes that a task keeps; when it has more, it starts anew.
+DROPOUT, SEED, LONG, KEPT = 0.1, 5, 48, 500_000
 _NONE, _MASK = np.int64(1) << 30, (1 << 64) - 1
 
 
@@ -48,12 +52,14 @@ def mix_int(h: int) -> int:
     return h ^ (h >> 31)
 
 
-def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the candidate that joins start:middle and middle:end is skipped."""
-    if dropout <= 0:
-        return np.zeros(key.size, bool)
-    borders = start.astype(U) + middle.astype(U) * U(0x9E3779B97F4A7C15) + end.astype(U) * U(0xC2B2AE3D27D4EB4F)
-    return mix(key ^ mix(borders)) < U(min(_MASK, int(dropout * 2.0**64)))
+def borders(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the candidates that join start:middle and middle:end."""
+    return mix(start.astype(U) + middle.astype(U) * U(0x9E3779B97F4A7C15) + end.astype(U) * U(0xC2B2AE3D27D4EB4F))
+
+
+def skipped(key: np.ndarray, hashed: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the candidates with these hashed borders are skipped."""
+    return mix(key ^ hashed) < U(min(_MASK, int(dropout * 2.0**64)))
 
 
 def _skipped_one(key: int, start: int, middle: int, end: int, dropout: float) -> bool:
@@ -92,10 +98,14 @@ def agenda(v: Vocabulary, symbols: list[int], key: int, dropout: float, pairs: d
     return [(s, i) for i, s in enumerate(sym) if s is not None]
 
 
-def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, word, first character) of the segments of many pre-tokens, in rounds of one merge each."""
+def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of many pre-tokens (id, word, first character) and the merges made (word, borders in order).
+
+    It goes in rounds of one merge for each word; ``barred`` has the sorted word << 18 | borders of what never merges.
+    """
     end = start + 1
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    made: list[tuple[np.ndarray, np.ndarray]] = []
 
     def ranks(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of the candidates of i and what follows."""
@@ -106,8 +116,10 @@ def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray,
         j = i[ok]
         at = vocabulary.look_up(sym[j] * v.size + sym[j + 1], v.pair_key)
         ok, j, at = ok[at >= 0], j[at >= 0], at[at >= 0]
-        keep = ~skipped(key[word[j]], start[j], end[j], end[j + 1], dropout)
-        rank[ok[keep]], to[ok[keep]] = v.pair_rank[at[keep]], v.pair_id[at[keep]]
+        if barred.size:
+            keep = vocabulary.look_up(word[j] << 18 | start[j] << 12 | end[j] << 6 | end[j + 1], barred) < 0
+            ok, at = ok[keep], at[keep]
+        rank[ok], to[ok] = v.pair_rank[at], v.pair_id[at]
         return rank, to
 
     rank, to = ranks(np.arange(sym.size))
@@ -125,6 +137,7 @@ def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray,
                 break
         else:
             best = best & 0xFFFFFFFF
+        made.append((word[best], start[best] << 12 | end[best] << 6 | end[best + 1]))
         sym[best], end[best] = to[best], end[best + 1]
         stay = np.ones(sym.size, bool)
         stay[best + 1] = False
@@ -132,53 +145,160 @@ def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray,
         sym, word, start, end, rank, to = sym[stay], word[stay], start[stay], end[stay], rank[stay], to[stay]
         again = np.unique(np.concatenate([best, best[best > 0] - 1]))
         rank[again], to[again] = ranks(again)
-    out = [np.concatenate(x) for x in zip(*done)] if done else [np.zeros(0, np.int64)] * 3
+    none = [np.zeros(0, np.int64)]
+    out = [np.concatenate(x) for x in zip(*done)] if done else none * 3
     order = np.lexsort((out[2], out[1]))
-    return out[0][order], out[1][order], out[2][order]
-
-
-def segment(v: Vocabulary, t: PreTokens, which: np.ndarray, variant: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, their number) for each pre-token of ``which`` in its variant."""
-    symbols = vocabulary.char_symbols(v, t)
-    n = (t.first_char[1:] - t.first_char[:-1])[which]
-    key = mix(t.hash[which] ^ U(seed64("merge", seed)) ^ mix(variant.astype(U)))
-    short = np.flatnonzero(n <= LONG)
-    own, k = ragged(n[short])
-    parts = [_merged(v, symbols[t.first_char[which[short]][own] + k].astype(np.int64), short[own], k, key, dropout)]
-    if short.size < n.size:
-        pairs = {int(a): (int(b), int(c)) for a, b, c in zip(v.pair_key, v.pair_id, v.pair_rank)}
-        for w in np.flatnonzero(n > LONG).tolist():
-            first = int(t.first_char[which[w]])
-            got = agenda(v, symbols[first : first + int(n[w])].tolist(), int(key[w]), dropout, pairs)
-            parts.append((np.array([x for x, _ in got], np.int64), np.full(len(got), w), np.array([i for _, i in got], np.int64)))
-        sym, word, start = map(np.concatenate, zip(*parts))
-        order = np.lexsort((start, word))
-        sym, word, start = sym[order], word[order], start[order]
-    else:
-        sym, word, start = parts[0]
-    # unknown characters become their bytes
-    at = t.first_char[which[word]] + start
-    size = np.where(sym == UNKNOWN, t.char_at[at + 1] - t.char_at[at], 1)
-    own, k = ragged(size)
-    ids = np.where(sym[own] == UNKNOWN, v.byte_base + t.data[t.char_at[at[own]] + k].astype(np.int64), sym[own])
-    return ids.astype(np.int32), np.bincount(word, weights=size, minlength=which.size).astype(np.int64)
-
-
-def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, their number) for each text; ``doc`` are 64-bit keys of the texts."""
+    who, what = [np.concatenate(x) for x in zip(*made)] if made else none * 2
+    by = np.argsort(who, kind="stable")
+    return out[0][order], out[1][order], out[2][order], who[by], what[by]
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.all, self.size = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        while self.size + x.size > self.all.size:
+            self.all = np.concatenate([self.all, np.zeros_like(self.all)])
+        self.all[self.size : self.size + x.size] = x
+        self.size += x.size
+
+
+class Segmenter:
+    """Segments every pre-token with its own key, keeping what it knows over the slices of a task.
+
+    A node stands for a word and the merges skipped so far. It has the merges that follow if
+    nothing more is skipped (the path) and the ids to which they lead. A pre-token tests its
+    path by its key; the first merge that it skips leads to a child of the node.
+    """
+
+    def __init__(self, v: Vocabulary, dropout: float):
+        self.v, self.dropout = v, dropout
+        self.pairs: dict[int, tuple[int, int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.word, self.root = np.zeros(0, U), np.zeros(0, np.int64)  # sorted hashes of words, their nodes
+        self.path, self.hashed, self.child = Grown(np.int32), Grown(U), Grown(np.int32)
+        self.ids = Grown(np.int32)
+        # of each node: where path and ids begin and their sizes, merges before the path, the node it comes from and what that skipped
+        self.path_at, self.path_n, self.ids_at, self.ids_n = Grown(np.int64), Grown(np.int32), Grown(np.int64), Grown(np.int32)
+        self.before, self.parent, self.barred = Grown(np.int32), Grown(np.int32), Grown(np.int32)
+
+    def spelt(self, t: PreTokens, at: np.ndarray, word: np.ndarray, sym: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number) for each word: unknown characters, from character ``at``, become their bytes."""
+        size = np.where(sym == UNKNOWN, t.char_at[at + 1] - t.char_at[at], 1)
+        own, k = ragged(size)
+        ids = np.where(sym[own] == UNKNOWN, self.v.byte_base + t.data[t.char_at[at[own]] + k].astype(np.int64), sym[own])
+        return ids.astype(np.int32), np.bincount(word, weights=size, minlength=words).astype(np.int64)
+
+    def grow(self, t: PreTokens, symbols: np.ndarray, which: np.ndarray, parent: np.ndarray, barred: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """New nodes for the pre-tokens ``which``."""
+        first = t.first_char[which]
+        own, k = ragged(t.first_char[which + 1] - first)
+        no, up, bar = [], parent.astype(np.int64), barred.astype(np.int64)
+        on = np.flatnonzero(up >= 0)
+        while on.size:  # what the node and those before it skip
+            no.append(on << 18 | bar[on])
+            bar[on], up[on] = self.barred.all[up[on]], self.parent.all[up[on]]
+            on = on[up[on] >= 0]
+        sym, word, start, who, what = _merged(self.v, symbols[first[own] + k].astype(np.int64), own, k, np.sort(np.concatenate(no)) if no else np.zeros(0, np.int64))
+        ids, n = self.spelt(t, first[word] + start, word, sym, which.size)
+        made = np.bincount(who, minlength=which.size)
+        late = np.arange(who.size) - (np.cumsum(made) - made)[who] >= before[who]
+        what, made = what[late], made - before
+        node = self.path_at.size + np.arange(which.size)
+        self.path_at.add(self.path.size + np.cumsum(made) - made), self.path_n.add(made)
+        self.ids_at.add(self.ids.size + np.cumsum(n) - n), self.ids_n.add(n)
+        self.path.add(what), self.hashed.add(borders(what >> 12, what >> 6 & 63, what & 63)), self.child.add(np.full(what.size, -1))
+        self.ids.add(ids), self.before.add(before), self.parent.add(parent), self.barred.add(barred)
+        return node
+
+    def roots(self, t: PreTokens, symbols: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The node without skips of each pre-token of ``which``."""
+        h, one, inverse = np.unique(t.hash[which], return_index=True, return_inverse=True)
+        at = vocabulary.look_up(h, self.word) if self.word.size else np.full(h.size, -1)
+        node = np.where(at >= 0, self.root[at], -1) if self.word.size else at
+        new = np.flatnonzero(at < 0)
+        if new.size:
+            none = np.full(new.size, -1)
+            node[new] = self.grow(t, symbols, which[one[new]], none, none, np.zeros(new.size, np.int64))
+            both = np.concatenate([self.word, h[new]])
+            order = np.argsort(both, kind="stable")
+            self.word, self.root = both[order], np.concatenate([self.root, node[new]])[order]
+        return node[inverse]
+
+    def nodes(self, t: PreTokens, symbols: np.ndarray, which: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The node at which each pre-token of ``which`` ends."""
+        node = self.roots(t, symbols, which)
+        if self.dropout <= 0:
+            return node
+        out, on, now = node.copy(), np.arange(which.size), node
+        while on.size:
+            begin = self.path_at.all[now]
+            own, k = ragged(self.path_n.all[now])
+            hit = np.flatnonzero(skipped(key[on][own], self.hashed.all[begin[own] + k], self.dropout))
+            hit = hit[np.append(True, own[hit][1:] != own[hit][:-1])] if hit.size else hit  # the first of each
+            at, parent, on = begin[own[hit]] + k[hit], now[own[hit]], on[own[hit]]
+            now = self.child.all[at].astype(np.int64)
+            new = np.flatnonzero(now < 0)
+            if new.size:
+                _, one, inverse = np.unique(at[new], return_index=True, return_inverse=True)
+                lead = new[one]
+                got = self.grow(t, symbols, which[on[lead]], parent[lead], self.path.all[at[lead]], self.before.all[parent[lead]] + at[lead] - self.path_at.all[parent[lead]])
+                self.child.all[at[lead]] = got
+                now[new] = got[inverse]
+            out[on] = now
+        return out
+
+    def __call__(self, t: PreTokens, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number) for each pre-token."""
+        if self.path_at.size > KEPT:
+            self.clear()
+        symbols = vocabulary.char_symbols(self.v, t)
+        length = np.diff(t.first_char)
+        short, long = np.flatnonzero(length <= LONG), np.flatnonzero(length > LONG)
+        node = self.nodes(t, symbols, short, key[short])
+        n = np.zeros(length.size, np.int64)
+        n[short] = self.ids_n.all[node]
+        heaped: list[tuple[int, np.ndarray]] = []
+        if long.size:
+            self.pairs = self.pairs or {int(a): (int(b), int(c)) for a, b, c in zip(self.v.pair_key, self.v.pair_id, self.v.pair_rank)}
+            seen: dict[int, np.ndarray] = {}
+            for w in long.tolist():
+                first, h = int(t.first_char[w]), int(t.hash[w])
+                ids = seen.get(h) if self.dropout <= 0 else None
+                if ids is None:
+                    got = agenda(self.v, symbols[first : first + int(length[w])].tolist(), int(key[w]), self.dropout, self.pairs)
+                    sym, start = np.array(got, np.int64).reshape(-1, 2).T
+                    ids = seen[h] = self.spelt(t, first + start, np.zeros(sym.size, np.int64), sym, 1)[0]
+                    if self.dropout > 0:
+                        seen.clear()
+                heaped.append((w, ids))
+                n[w] = ids.size
+        begin = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), np.int32)
+        own, k = ragged(n[short])
+        out[begin[short][own] + k] = self.ids.all[self.ids_at.all[node][own] + k]
+        for w, ids in heaped:
+            out[begin[w] : begin[w] + ids.size] = ids
+        return out, n
+
+
+def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, seed: int, dropout: float, variants: int | None = None, by: Segmenter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number) for each text; ``doc`` are 64-bit keys of the texts.
+
+    ``by`` keeps what it knows for the next slice. ``variants`` is what older callers pass; it bounds nothing any more.
+    """
     t = vocabulary.split(data, offsets)
     rows = offsets.size - 1
     if not t.hash.size:
         return np.zeros(0, np.int32), np.zeros(rows, np.int64)
-    if dropout > 0:
-        variant = mix(mix(doc ^ U(seed64("variant", seed)))[t.row] + t.place.astype(U)) % U(variants)
-    else:
-        variant = np.zeros(t.hash.size, U)
-    _, one, inverse = np.unique(mix(t.hash + variant * U(0xC2B2AE3D27D4EB4F)), return_index=True, return_inverse=True)
-    ids, n = segment(v, t, one, variant[one], seed, dropout)
-    begin = np.cumsum(n) - n
-    own, k = ragged(n[inverse])
-    return ids[begin[inverse][own] + k], np.bincount(t.row, weights=n[inverse], minlength=rows).astype(np.int64)
+    key = mix(t.hash ^ mix(mix(doc ^ U(seed64("merge", seed)))[t.row] + t.place.astype(U)))
+    ids, n = (by or Segmenter(v, dropout))(t, key)
+    return ids, np.bincount(t.row, weights=n, minlength=rows).astype(np.int64)
 
 
 def decode_slice(v: Vocabulary, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +313,8 @@ def decode_slice(v: Vocabulary, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return data[keep], total - (total > 0)
 
 
-def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", check: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, model: str = vocabulary.MODEL) -> DataFrame:
-    """``docs`` with the ids of each text; ``check`` names a column that says whether they decode to the text."""
+def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", check: str | None = None, seed: int = SEED, dropout: float = DROPOUT, model: str = vocabulary.MODEL, copy: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text; ``check`` names a column that says whether they decode to the text, ``copy`` one that numbers copies of a row."""
     for name in filter(None, (out, check)):
         if name.lower() in {c.lower() for c in docs.columns}:
             raise ValueError(f"there is a column {name} already; name another")
@@ -202,16 +322,19 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", out: str =
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary.load(model))
     whole = isinstance(docs.schema[key].dataType, T.IntegralType)
     mine = F.coalesce(col(key).cast("long") if whole else F.xxhash64(col(key)), F.lit(0))
+    if copy:
+        mine = F.xxhash64(mine, col(copy))
     at = len(docs.columns)
     schema = T.StructType([*docs.schema, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(check, T.BooleanType(), False)] if check else [])])
     text_at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        by = Segmenter(v, dropout)
         for b in batches:
             doc = b.column(at).to_numpy(zero_copy_only=False).view(U)
             for i, j, data, off in slices(b.column(text_at), 1 << 20):
-                ids, n = encode_slice(v, data, off, doc[i:j], seed, dropout, variants)
+                ids, n = encode_slice(v, data, off, doc[i:j], seed, dropout, by=by)
                 more = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))]
                 if check:
                     back, m = decode_slice(v, ids, n)
