@@ -4,21 +4,27 @@ The distinct pre-tokens of a slice of texts are put in a trie, level by level. A
 the best unigram score of its prefix and the tokens of that segmentation; it is computed
 once from its ancestors (a piece of k characters leads from the ancestor k levels up),
 however many pre-tokens share the prefix. The counts at the terminals are stored and looked
-up for every occurrence, over all slices of a task. Scores are those of the vocabulary file;
-on ties the longest last piece wins. A character that is no piece costs the lowest score
-less 10 and counts a token for each of its bytes.
+up for every occurrence, over all slices of a task. On ties the longest last piece wins. A
+character that is no piece costs the lowest score less 10 and counts a token for each of its
+bytes.
 
-One narrow pass, no shuffle, no texts or words leave their task.
+The vocabulary file holds a merge model, whose scores are ranks. So the unigram model is
+fitted first: the pieces of the file's own segmentation are counted over all documents, and
+a piece's score is the logarithm of its share, each count raised by ``SMOOTHING``. A task sends one row for
+each piece that it met; what reaches the driver is bounded by the vocabulary.
+
+Two narrow passes over the texts, which don't leave their task; only the pieces' counts are shuffled.
 
 Defined cases: NULL and empty texts have 0 tokens; blanks and line ends count as the model
 spells them; the model's meta symbol itself, where a text has it, is spelt as its bytes;
-repeated rows count alike; an empty table gives an empty one; columns of ``docs`` pass
+repeated rows count alike; an empty table gives an empty one, and where no piece is met all have one score; columns of ``docs`` pass
 through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -26,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import vocabulary
+from . import pieces, vocabulary
 from .common import col, fresh, prepare
 from .textops import U, slices
 from .vocabulary import PreTokens, Spans, Vocabulary
 
-PENALTY = 10.0
+PENALTY, SMOOTHING = 10.0, 0.5
 #: Pre-tokens whose counts a task keeps; when it has more, it starts anew.
 KEPT = 2_000_000
 
@@ -103,12 +109,42 @@ class Counter:
         return np.bincount(t.row, weights=n[inverse], minlength=offsets.size - 1).astype(np.int64)
 
 
+def piece_counts(docs: DataFrame, text: str = "text", model: str = vocabulary.MODEL) -> DataFrame:
+    """(piece, n): how often each piece stands in the model's own segmentation of all texts."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.load(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        by, n = pieces.Segmenter(v, 0.0), np.zeros(v.size, np.int64)
+        for b in batches:
+            for _, _, data, off in slices(b.column(0), 1 << 20):
+                ids, _ = pieces.encode_slice(v, data, off, np.zeros(off.size - 1, U), 0, 0.0, by=by)
+                n += np.bincount(ids, minlength=v.size)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], ["piece", "n"])
+
+    return docs.select(col(text).alias("text")).mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, text: str = "text", model: str = vocabulary.MODEL) -> Vocabulary:
+    """The vocabulary with the unigram log probabilities of its pieces over all documents."""
+    v = vocabulary.load(model)
+    n = np.zeros(v.size)
+    for r in piece_counts(docs, text, model).collect():
+        n[r["piece"]] = r["n"]
+    score = np.zeros(v.size)
+    of = n[v.piece_id] + SMOOTHING
+    score[v.piece_id] = np.log(of / of.sum())
+    return replace(v, score=score)
+
+
 def token_count(docs: DataFrame, text: str = "text", out: str = "n_tokens", model: str = vocabulary.MODEL) -> DataFrame:
     """``docs`` with the number of unigram tokens of each text."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"there is a column {out} already; name another with out=")
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, text, model))
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
