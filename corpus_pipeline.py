@@ -35,10 +35,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text with merge-dropout (operator 5); copies that mixing made are numbered, so each has its own."""
+    """The ids of each text with merge-dropout (operator 5); copies that mixing made are numbered, so each has its own.
+
+    ``lossless`` says whether the ids decode to the text.
+    """
     copies = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
     numbered = docs.select("doc_id", "source", "text", F.row_number().over(copies).alias("copy_no"))
-    return pieces.encode(numbered, copy="copy_no").select("doc_id", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids")
+    return pieces.encode(numbered, check="lossless", copy="copy_no").select("doc_id", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids", "lossless")
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("encode", encode)]

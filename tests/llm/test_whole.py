@@ -79,3 +79,12 @@ def test_frequent_words_stay_whole(spark, v):
     for i, j, data, off in slices(pa.array([r["text"] or "" for r in docs.collect()])):
         own += pieces.encode_slice(v, data, off, np.arange(i, j).astype(np.uint64), 5, 0.0)[0].size
     assert sum(got.values()) - 2 <= 1.02 * own  # merge ranks taken for log probabilities give 1.14 on 200 documents of sf0.01
+
+
+@pytest.mark.skipif(not HAS_PIPELINE, reason="the pipeline isn't there")
+def test_rows_of_the_pipeline_say_that_they_decode(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, "the question  of\nunderstanding", "a"), (2, None, "b"), (3, "😀 ▁ x", None)], "doc_id long, text string, source string")
+    rows = p.encode(spark, docs, SF).collect()
+    assert len(rows) == 3 and all(r["lossless"] for r in rows)
