@@ -128,6 +128,13 @@ def split(data: np.ndarray, offsets: np.ndarray) -> PreTokens:
     return PreTokens(out, np.flatnonzero(live)[which], place, hashes(out, start, end), first, np.append(char_at, out.size))
 
 
+def whole(data: np.ndarray, offsets: np.ndarray) -> PreTokens:
+    """Pre-tokens that are given one by one, none of them empty."""
+    char_at = np.flatnonzero((data & 0xC0) != 0x80)
+    n = np.arange(offsets.size - 1)
+    return PreTokens(data, n, np.zeros_like(n), hashes(data, offsets[:-1], offsets[1:]), np.append(np.searchsorted(char_at, offsets[:-1]), char_at.size), np.append(char_at, data.size))
+
+
 def char_codes(t: PreTokens) -> np.ndarray:
     at, n = t.char_at[:-1], np.diff(t.char_at)
     padded = np.append(t.data, np.zeros(4, np.uint8)).astype(np.int64)
