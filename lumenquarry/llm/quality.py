@@ -1,25 +1,30 @@
 """Operator 6: a quality classifier by importance resampling.
 
 Two generative models of hashed n-grams (words and runs of punctuation, one and two at a
-time, in ``BUCKETS`` buckets) are fitted: the target's on labelled texts of quality 1, the
-raw one's on all documents. A document's log weight is the sum over its n-grams of
-``log p_target - log p_raw``. Gumbel noise from a keyed hash of doc_id is added and the top
-k are taken, which samples k documents without replacement in proportion to their weights.
-
-k is a parameter. Where it is not given, it is calibrated: the cut is put where it best
-separates labelled texts that the target's model hasn't seen (a quarter of them; all, if those are of one kind), and k is the number of documents of the whole table that
-reach it; the top k are then the documents at or above the cut. With a given k the cut is
-the exact k-th largest key, found by a histogram of all keys and a look into one of its bins.
-
-The labelled sample has a documented bound, ``LABELLED`` rows (the least hashes of doc_id);
-the raw counts, the weights and the choice cover every document. What the driver gathers
-is one vector of ``BUCKETS`` counts and the keys of the sample, whatever the input.
-
-Defined cases: NULL and empty texts have no n-grams and the log weight 0; a NULL doc_id is
-hashed as ``\\N``; repeated rows share their noise and are kept or rejected alike (so ties at
-the k-th key are all kept); if no label has quality 1, or none has another, nothing can be
-told apart and everything is kept; an empty table gives an empty one; the columns of
-``docs`` pass through, whatever their names.
+time) are fitted: the target's on labelled texts of quality 1, the raw one's on all
+documents. A document's log weight is ``TEMPER`` times the mean over its n-grams of
+``log p_target - log p_raw``; the mean, so that a text doesn't weigh more for being long, and
+so that weights are of the size of the noise that is added. That is Gumbel noise from a
+keyed hash of doc_id; the k documents of the highest sums are taken, which samples k
+documents without replacement in proportion to their weights.
+
+k is a parameter, or the share ``keep`` of all rows (``KEEP`` = 0.9: the tenth that is least
+like the target goes). Neither is fitted to the labels. The k-th largest sum is found
+exactly, by a histogram of all of them and a look into one of its bins.
+
+The n-grams have a number of buckets that grows as the square root of the characters of all
+documents (``buckets``), as the number of distinct words does: 2**16 up to 67 million
+characters, 2**17 for 0.8e9, 2**26 for 100 TB. That is what the driver gathers and broadcasts, 4 bytes each
+(256 MiB at 100 TB). The labelled sample has a documented bound, ``LABELLED`` rows (the least
+hashes of doc_id); the raw counts, the weights and the choice cover every document.
+
+Defined cases: NULL and empty texts have no n-grams and the log weight 0; a very long text
+needs memory in proportion to its length (some 100 bytes for each of its own); a NULL doc_id is hashed
+as ``\\N``, any other by its string, so it may be of any type; repeated rows share their noise
+and are kept or rejected alike; rows that tie at the k-th sum are all kept; if no label has
+quality 1, or none has another, nothing can be told apart and everything is kept; an empty
+table gives an empty one; the columns of ``docs`` pass through, whatever their names; the
+column ``weight`` takes the next free name if its own is taken.
 """
 
 from __future__ import annotations
@@ -35,32 +40,37 @@ from pyspark.sql import functions as F
 from .common import col, fresh, prepare, staged, unit
 from .textops import U, hashes, mix, slices, tokens
 
-BUCKETS, LABELLED, SEED, PRIOR = 1 << 16, 20_000, 6, 5.0
-#: One labelled text in so many is left out of the target and calibrates the cut.
-UNSEEN = 4
+LEAST, LABELLED, SEED, PRIOR = 1 << 16, 20_000, 6, 5.0
+KEEP, TEMPER = 0.9, 20.0
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def buckets(chars: int) -> int:
+    """The power of two at or above 4 * sqrt(chars)."""
+    return max(LEAST, 1 << (int(4 * max(1, chars) ** 0.5) - 1).bit_length())
+
+
+def features(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row) of each n-gram of one and two tokens."""
     start, end, row = tokens(data, offsets)
     h = hashes(data, start, end)
     same = row[1:] == row[:-1]
     two = mix(h[:-1] * U(3) + h[1:])[same]
-    return (np.concatenate([h, two]) & U(BUCKETS - 1)).astype(np.int64), np.concatenate([row, row[:-1][same]])
+    return (np.concatenate([h, two]) & U(size - 1)).astype(np.int64), np.concatenate([row, row[:-1][same]])
 
 
-def counts(texts: DataFrame) -> np.ndarray:
+def counts(texts: DataFrame, size: int) -> np.ndarray:
     """Counts of the buckets over the one text column, added up by the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
             for _, _, data, off in slices(b.column(0)):
-                total += np.bincount(features(data, off)[0], minlength=BUCKETS)
+                at, n = np.unique(features(data, off, size)[0], return_counts=True)
+                total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    out = np.zeros(BUCKETS, np.float64)
+    out = np.zeros(size, np.float64)
     got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
     return out
@@ -73,7 +83,7 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     is the target's count and e what it would be if the target were like the raw text (the
     mean under a Gamma prior): what is too rare to tell says nothing either way.
     """
-    base = (raw + 1) / (raw.sum() + BUCKETS)
+    base = (raw + 1) / (raw.sum() + raw.size)
     p = base * (target + PRIOR) / (base * target.sum() + PRIOR)
     return np.log(p / p.sum()) - np.log(base)
 
@@ -83,10 +93,11 @@ def log_weight(text: Column, ratio) -> Column:
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
-        out = np.zeros(len(s))
+        out, of = np.zeros(len(s)), ratio.value
         for i, j, data, off in slices(pa.Array.from_pandas(s, type=pa.large_string())):
-            bucket, row = features(data, off)
-            out[i:j] = np.bincount(row, weights=ratio.value[bucket], minlength=j - i)
+            bucket, row = features(data, off, of.size)
+            n = np.bincount(row, minlength=j - i)
+            out[i:j] = TEMPER * np.bincount(row, weights=of[bucket], minlength=j - i) / np.maximum(1, n)
         return pd.Series(out)
 
     return score(text)
@@ -97,48 +108,27 @@ def gumbel(key: Column, seed: int) -> Column:
 
 
 def sample_of(labels: DataFrame, what: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled doc_ids, those of the least hashes; a doc_id labelled twice has its larger label."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(what).isNotNull()).groupBy("doc_id").agg(F.max(what).cast("int").alias("label"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    """(id, label) of ``limit`` labelled doc_ids at most, those of the least hashes; a doc_id labelled twice has its larger label."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(what).isNotNull())
+    one = known.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max(what).cast("int").alias("label"))
+    return one.orderBy(F.xxhash64("id"), "id").limit(limit)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, what: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, text, label) of the sample; ``limit`` bounds what is broadcast."""
-    picked = staged(sample_of(labels, what, limit), "labels").select(F.col("doc_id").alias("id"), "label")
-    own = docs.select(col(key).cast("bigint").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull())
+    """(id, text, label) of the sample; ``limit`` bounds what is broadcast. Ids are compared as strings, so they may be of any type."""
+    picked = staged(sample_of(labels, what, limit), "labels")
+    own = docs.select(col(key).cast("string").alias("id"), col(text).alias("text")).where(F.col("text").isNotNull())
     return staged(own.join(F.broadcast(picked), "id"), "labelled")
 
 
-def best_cut(score: np.ndarray, label: np.ndarray) -> float:
-    """The cut of the best balanced accuracy; in the middle of the widest gap where several are as good."""
-    order = np.argsort(score, kind="stable")
-    s, y = score[order], label[order] == 1
-    below = np.cumsum(y)
-    gain = np.cumsum(~y) / max(1, (~y).sum()) - below / max(1, y.sum())
-    inner = np.flatnonzero(s[1:] > s[:-1])
-    if not inner.size:
-        return -np.inf
-    g = gain[inner]
-    good = inner[g >= g.max() - 1e-12]
-    k = good[np.argmax(s[good + 1] - s[good])]
-    return float((s[k] + s[k + 1]) / 2)
-
-
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, seed: int = SEED, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, float]:
-    """The log ratios by bucket and the calibrated cut (-inf if the labels tell nothing apart)."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, text: str = "text", key: str = "doc_id") -> np.ndarray | None:
+    """The log ratios by bucket; None if the labels tell nothing apart."""
     prepare(docs.sparkSession)
     known = labelled_texts(docs, labels, "quality", limit, text, key)
-    raw = counts(docs.select(col(text)))
-    # texts that the target was fitted on score higher than others, so the cut comes from texts it hasn't seen
-    known = known.withColumn("unseen", F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(UNSEEN)) == 0)
-    if known.where("unseen").select("label").distinct().count() < 2:
-        known = known.withColumn("unseen", F.lit(None).cast("boolean"))
-    target = counts(known.where("label = 1 and coalesce(not unseen, true)").select("text"))
-    ratio = log_ratio(target, raw) if target.any() else np.zeros(BUCKETS)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    got = known.where("coalesce(unseen, true)").select("label", (log_weight(F.col("text"), shared) + gumbel(F.col("id"), seed)).alias("at")).toPandas()
-    kinds = got["label"].eq(1).nunique()
-    return ratio, best_cut(got["at"].to_numpy(np.float64), got["label"].to_numpy()) if kinds == 2 else -np.inf
+    if known.select((F.col("label") == 1).alias("good")).distinct().count() < 2:
+        return None
+    size = buckets(docs.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0)
+    return log_ratio(counts(known.where("label = 1").select("text"), size), counts(docs.select(col(text)), size)).astype(np.float32)
 
 
 def kth_largest(keys: DataFrame, name: str, k: int, bins: int = 4096) -> float:
@@ -156,14 +146,17 @@ def kth_largest(keys: DataFrame, name: str, k: int, bins: int = 4096) -> float:
             k -= r["n"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, limit: int = LABELLED, seed: int = SEED, text: str = "text", key: str = "doc_id", weight: str | None = None) -> DataFrame:
-    """The documents that the Gumbel top-k sample keeps; ``weight`` names a column for the log weight."""
-    ratio, cut = fit(docs, labels, limit, seed, text, key)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep: float = KEEP, limit: int = LABELLED, seed: int = SEED, text: str = "text", key: str = "doc_id", weight: str | None = None) -> DataFrame:
+    """The k documents (or the share ``keep`` of them) that the Gumbel top-k sample takes; ``weight`` names a column for the log weight."""
     w, at = fresh(docs, weight or "log_weight", "gumbel_key")
-    keyed = docs.withColumn(w, log_weight(col(text), shared)).withColumn(at, F.col(w) + gumbel(col(key), seed))
-    if k is not None:
-        keys = staged(keyed.select(at), "gumbel-keys")
-        cut = -np.inf if keys.count() <= k else np.inf if k <= 0 else kth_largest(keys, at, k)
-    kept = keyed.where(F.col(at) >= F.lit(float(cut))) if np.isfinite(cut) or cut > 0 else keyed
+    ratio = fit(docs, labels, limit, text, key)
+    if ratio is None and k is None:
+        return docs.withColumn(w, F.lit(0.0)) if weight else docs
+    value = F.lit(0.0) if ratio is None else log_weight(col(text), docs.sparkSession.sparkContext.broadcast(ratio))
+    keyed = docs.withColumn(w, value).withColumn(at, F.col(w) + gumbel(col(key), seed))
+    keys = staged(keyed.select(at), "gumbel-keys")
+    n = keys.count()
+    most = -int(-n * keep // 1) if k is None else k
+    cut = -np.inf if n <= most else np.inf if most <= 0 else kth_largest(keys, at, most)
+    kept = keyed.where(F.col(at) >= F.lit(float(cut))) if cut > -np.inf else keyed
     return kept.select(*[col(c) for c in docs.columns], *([F.col(w)] if weight else []))
