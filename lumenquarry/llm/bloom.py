@@ -1,10 +1,17 @@
-"""Two-bit Bloom filters over 64-bit hashes, built by tasks and merged by segments of cells.
-
-A cell says whether no, one or several hashes set it. A hash that occurs twice finds
-"several" in all of its cells; one that occurs once does so rarely. What a task hands on is
-the sorted cells of its own rows, as compressed differences: a few bytes a row. The merged
-filter (one bit a cell) is bounded by ``max_cells``: beyond that it lets more hashes pass,
-which costs time but no result, as whoever uses it verifies what passes.
+"""Bloom filters over 64-bit hashes: one that tells repeated hashes apart, one that is broadcast.
+
+``again`` finds the hashes that may occur more than once. The hashes (8 bytes a row) go to
+partitions by their value; a partition streams its own through a Bloom filter, and a hash
+that finds all of its cells taken may have been there before, so it is handed on. Each
+partition has a filter of its own, of 16 cells a hash, so none fills up, however many rows
+there are. Of a hot hash, a task hands on one for each batch it occurs in.
+
+``containing`` makes a filter of hashes that is broadcast: built by tasks as sorted cells
+(compressed differences, a few bytes a hash) and merged by segments of cells. It takes 2 bytes
+a hash and is bounded by ``max_cells`` bits; beyond that it lets more hashes pass, which costs
+time but no result, as whoever uses it verifies what passes. It is used for what recurs
+alone, repeated texts or grouped documents; of a hash that it takes, two rows at least
+belong to what passes anyway. ``both`` gives besides the filter of hashes that occur twice.
 """
 
 from __future__ import annotations
@@ -19,8 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASHES, CELLS_PER_KEY, SEGMENT = 3, 16, 1 << 20
-#: 2**28 cells: 32 MiB for the driver and each executor, whatever the input.
-MAX_CELLS = 1 << 28
+#: Bits of the broadcast filter: 256 MiB at most, by design for 134 million hashes.
+MAX_CELLS = 1 << 31
+#: Hashes of a partition of ``again``, about; its filter has 16 bits for each.
+PART = 4_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -39,6 +48,38 @@ def size_for(n: int, max_cells: int = MAX_CELLS) -> int:
     return min(max_cells, max(SEGMENT, 1 << (max(1, n) * CELLS_PER_KEY - 1).bit_length()))
 
 
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each hash once a batch, with whether it came twice there."""
+    for b in batches:
+        h, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n > 1)], ["h", "twice"])
+
+
+def _streamed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = np.zeros(size, bool)
+        for b in batches:
+            h, one, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+            twice = b.column(1).to_numpy(zero_copy_only=False)
+            seen = n > 1
+            np.logical_or.at(seen, np.searchsorted(h, b.column(0).to_numpy(zero_copy_only=False)), twice)
+            c = cells(h.view(np.uint64), size)
+            full = np.ones(h.size, bool)
+            for x in c:
+                full &= taken[x]
+            for x in c:
+                taken[x] = True
+            yield pa.RecordBatch.from_arrays([pa.array(h[seen | full])], ["h"])
+
+    return run
+
+
+def again(hashes: DataFrame, n: int, part: int = PART) -> DataFrame:
+    """(h): the hashes of the one BIGINT column of ``hashes`` (about ``n`` rows) that may occur more than once, none left out."""
+    parts = -(-max(1, n) // part)
+    return hashes.mapInArrow(_first_seen, "h long, twice boolean").repartition(parts, "h").mapInArrow(_streamed(size_for(min(n, 2 * part))), "h long").distinct()
+
+
 def _partial(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = np.zeros(0, np.uint32)
@@ -94,11 +135,6 @@ def _gathered(hashes: DataFrame, n: int, max_cells: int, *kinds: str):
     return [hashes.sparkSession.sparkContext.broadcast(b) for b in bits]
 
 
-def repeated(hashes: DataFrame, n: int, max_cells: int = MAX_CELLS):
-    """The broadcast filter of hashes that may occur more than once, from the one BIGINT column of ``hashes``."""
-    return _gathered(hashes, n, max_cells, "many")[0]
-
-
 def containing(hashes: DataFrame, n: int, max_cells: int = MAX_CELLS):
     """The broadcast filter of hashes that may occur."""
     return _gathered(hashes, n, max_cells, "once")[0]

@@ -1,15 +1,18 @@
 """Operator 4: exact dedup by two-pass Bloom filtering.
 
-Pass one puts a 64-bit hash of every text in a two-bit Bloom filter. Pass two splits the
-rows: those whose hash may occur again shuffle on the SHA-256 of their text, aggregated
-before the shuffle so that a hot group is small by then; all others pass straight through.
-What the filter lets pass wrongly is a group of one in the shuffle: results are exact.
+Pass one sends a 64-bit hash of every text, 8 bytes a row, to partitions by its value, where
+a streaming Bloom filter finds those that may occur again (``bloom.again``; a partition has
+its own filter, sized to its rows). Pass two splits the rows by a broadcast filter of these
+hashes: rows that may be repeated shuffle on the SHA-256 of their text, aggregated before the
+shuffle so that a hot group is small by then; all others pass straight through. What is
+broadcast grows with the repeated texts, not with the rows, and is bounded (256 MiB). What a
+filter lets pass wrongly is a group of one in the shuffle: results are exact.
 
 Defined cases: of equal texts the row with the least doc_id stays (a NULL doc_id comes after
 all others; between rows of one doc_id the least of the remaining columns in their order,
-NULL first, so the result doesn't depend on row order); texts are equal if all characters
-are, case and white space included; empty texts equal one another; a NULL text equals none,
-and such rows all stay; an empty table gives an empty one; columns of any name pass through.
+NULL first, so the result doesn't depend on row order; rows alike in all columns that have an order are ties, of which any one
+stays); texts are equal if all characters are, case and white space included, however long they are; empty texts equal one another; a NULL text equals none,
+and such rows all stay; doc_id may be of any type that has an order; an empty table gives an empty one; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import col, fresh, prepare
+from .common import col, fresh, prepare, staged
 
 
 def _orderable(kind: T.DataType) -> bool:
@@ -45,7 +48,8 @@ def _split(docs: DataFrame, text: str, max_cells: int):
     (h,) = fresh(docs, "bloom_hash")
     key = F.xxhash64(F.lit("exact"), col(text))
     keys = docs.where(col(text).isNotNull()).select(key.alias("h"))
-    found = bloom.repeated(keys, docs.count(), max_cells)
+    twice = staged(bloom.again(keys, docs.count()), "repeated")
+    found = bloom.containing(twice, twice.count(), max_cells)
     (flag,) = fresh(docs, "bloom_repeated")
     marked = docs.withColumn(h, key).withColumn(flag, bloom.maybe(F.col(h), found) & col(text).isNotNull())
     return marked.where(F.col(flag)).drop(h, flag), marked.where(~F.col(flag)).drop(h, flag)
