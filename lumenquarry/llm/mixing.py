@@ -10,10 +10,10 @@ The per-source table is written to the shared folder and read again, so Catalyst
 size: a few sources are broadcast, millions of them are joined by a shuffle.
 
 Defined cases: documents whose source is NULL form a source of their own; NULL or empty text
-counts no tokens; a source without tokens has the rate 0 with ``weights`` and without;
-repeated rows are emitted alike, as they share their hash; a NULL doc_id is hashed as
-``\\N``; an empty table gives an empty one; the columns of ``docs`` pass through, whatever
-their names.
+counts no tokens, and a very long one as many as it has; a source without tokens has the rate 0 with ``weights`` and without;
+however small another source's rate is, it isn't rounded to 0; repeated rows are emitted alike, as they share their hash; a NULL doc_id is hashed as
+``\\N``, any other by its string, so it may be of any type; there are no ties, as no row is compared with another; an empty table gives an empty one; the columns of ``docs`` pass through, whatever
+their names, and ``copy`` and ``rate`` must name none of them.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def token_count(text: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, source: str = "source", text: str = "text") -> DataFrame:
-    """(source, tokens, rate), rates rounded to 6 places so that every engine has the same."""
+    """(source, tokens, rate)."""
     per = docs.groupBy(col(source).alias("source")).agg(F.sum(token_count(col(text))).alias("tokens"))
     if weights is None:
         share = F.pow(F.col("tokens").cast("double"), F.lit(float(alpha)))
@@ -45,12 +45,15 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
     per = staged(per.withColumn("share", share), "mix-sources")
     totals = per.agg(F.sum("tokens").alias("t"), F.sum("share").alias("s"))
     rate = F.when((F.col("tokens") > 0) & (F.col("s") > 0), F.col("t") * F.col("share") / F.col("s") / F.col("tokens")).otherwise(0.0)
-    return per.crossJoin(F.broadcast(totals)).select("source", "tokens", F.round(rate, 6).alias("rate"))  # totals is one row
+    return per.crossJoin(F.broadcast(totals)).select("source", "tokens", rate.alias("rate"))  # totals is one row
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED, source: str = "source", text: str = "text", key: str = "doc_id", copy: str | None = None, rate: str | None = None) -> DataFrame:
     """``docs`` with each row as often as its source's rate asks; ``copy`` and ``rate`` name columns to add."""
     prepare(docs.sparkSession)
+    taken = {x.lower() for x in docs.columns} & {x.lower() for x in (copy, rate) if x}
+    if taken or (copy and rate and copy.lower() == rate.lower()):
+        raise ValueError(f"there is a column {sorted(taken) or copy} already; name another with copy= and rate=")
     s, r, n, c = fresh(docs, "mix_source", "mix_rate", "mix_n", "mix_copy")
     per = staged(rates(docs, weights, alpha, source, text), "mix-rates").select(F.col("source").alias(s), F.col("rate").alias(r))
     u = unit(F.concat(F.lit(f"{seed}|"), F.coalesce(col(key).cast("string"), F.lit("\\N"))))
@@ -66,7 +69,7 @@ def mix_sql(alpha: float = ALPHA, seed: int = SEED) -> str:
     WITH d AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS tokens FROM documents),
     per AS (SELECT source, sum(tokens)::BIGINT AS tokens, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens)::DOUBLE, {alpha}) ELSE 0.0 END AS share FROM d GROUP BY source),
     tot AS (SELECT sum(tokens)::BIGINT AS t, sum(share) AS s FROM per),
-    r AS (SELECT source, round(CASE WHEN tokens > 0 AND s > 0 THEN t * share / s / tokens ELSE 0.0 END, 6) AS rate FROM per, tot),
+    r AS (SELECT source, CASE WHEN tokens > 0 AND s > 0 THEN t * share / s / tokens ELSE 0.0 END AS rate FROM per, tot),
     n AS (SELECT d.doc_id, d.source, r.rate, (floor(rate) + CASE WHEN {u} < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS n FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-    SELECT doc_id, source, rate, unnest(range(1, n + 1))::INTEGER AS copy_no FROM n
+    SELECT doc_id, source, round(rate, 6) AS rate, unnest(range(1, n + 1))::INTEGER AS copy_no FROM n
     """

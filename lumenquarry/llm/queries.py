@@ -51,11 +51,11 @@ def op8_substring(spark, sf_dir):
 
 def op9_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.toxic(docs.select("doc_id", "text"), labels).select("doc_id", F.round("toxic_share", 6).alias("toxic_share"))
+    return toxicity.toxic(docs.select("doc_id", "text"), labels).select("doc_id", F.round("toxicity", 6).alias("toxicity"))
 
 
 def op10_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"), copy="copy_no", rate="rate").select("doc_id", "source", "rate", "copy_no")
+    return mixing.mix(table(spark, sf_dir, "documents"), copy="copy_no", rate="rate").select("doc_id", "source", F.round("rate", 6).alias("rate"), "copy_no")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_audio, op3_sharding, op4_exact_dedup, op5_pieces, op6_quality, op7_token_counts, op8_substring, op9_toxicity, op10_mixing)}
