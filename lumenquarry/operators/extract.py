@@ -1,7 +1,7 @@
 """Signals of sentences, and the three extractors over them.
 
-``sentences`` are rows (doc_id, sent_index, sent), with these columns where a model is
-plugged in: ``semantic_rq``, ``semantic_limit``, ``semantic_future`` (BOOLEAN), ``discourse``
+``sentences`` are rows (doc_id, sent_index, sent), and key where it is known already, with
+these columns where a model is plugged in: ``semantic_rq``, ``semantic_limit``, ``semantic_future`` (BOOLEAN), ``discourse``
 (STRING), ``ml_score`` (DOUBLE). Without them the rules decide alone.
 """
 
@@ -19,19 +19,29 @@ def _or(df: DataFrame, name: str, otherwise: Column) -> Column:
     return F.coalesce(F.col(name), otherwise) if name in df.columns else otherwise
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    return df if "key" in df.columns else df.withColumn("key", X.dedup_key(F.col("sent")))
+
+
 def _first(df: DataFrame) -> DataFrame:
     """The first row of each (doc_id, key)."""
     order = Window.partitionBy("doc_id", "key").orderBy("sent_index")
     return df.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def research_questions(sentences: DataFrame) -> DataFrame:
-    """The first accepted sentence of each key; the gate goes first, so few rows are shuffled."""
-    df = sentences.where(F.length("sent").between(30, 280)).withColumn("key", X.dedup_key(F.col("sent")))
+def _asks(df: DataFrame) -> tuple[Column, Column]:
+    """Whether a keyed sentence asks a question, and its signals."""
     low = F.col("key")
     hook, semantic = X.has_any(low, L.QUESTION), _or(df, "semantic_rq", F.lit(False))
-    gate = (hook | semantic | (_or(df, "discourse", F.lit("")) == "rq")) & (F.col("sent").endswith("?") | low.rlike("we |aim|hypothesi"))
-    kept = _first(df.withColumn("signals", S.signals(hook, semantic, F.lit(False), F.lit(False))).where(gate))
+    able = F.length("sent").between(30, 280) & (F.col("sent").endswith("?") | low.rlike("we |aim|hypothesi"))
+    return able & (hook | semantic | (_or(df, "discourse", F.lit("")) == "rq")), S.signals(hook, semantic, F.lit(False), F.lit(False))
+
+
+def research_questions(sentences: DataFrame) -> DataFrame:
+    """The first accepted sentence of each key; the gate goes first, so few rows are shuffled."""
+    df = _keyed(sentences)
+    gate, signals = _asks(df)
+    kept = _first(df.where(gate).withColumn("signals", signals))
     evidence = F.struct(F.col("sent").alias("text"), F.col("sent_index"), F.lit(None).cast("string").alias("section"))
     return kept.select("doc_id", X.as_question(F.col("sent")).alias("question"), evidence.alias("evidence"), F.lit(0.8).alias("confidence"), "signals", F.lit("explicit_rq").alias("type"))
 
@@ -44,7 +54,7 @@ def limitations(sentences: DataFrame) -> DataFrame:
 
 
 def _future_candidates(sentences: DataFrame, threshold: float) -> DataFrame:
-    df = sentences.where(F.length("sent").between(40, 350)).withColumn("is_ref", X.looks_like_reference(F.col("sent"))).withColumn("key", X.dedup_key(F.col("sent")))
+    df = _keyed(sentences.where(F.length("sent").between(40, 350))).withColumn("is_ref", X.looks_like_reference(F.col("sent")))
     low = F.col("key")
     hook, modal, will = X.has_any(low, L.FUTURE), X.has_any(F.concat(F.lit(" "), low, F.lit(" ")), L.MODAL), X.will_infinitive(low)
     semantic, labelled = _or(df, "semantic_future", F.lit(False)), _or(df, "discourse", F.lit("")) == "future"
@@ -76,12 +86,37 @@ def future_directions(sentences: DataFrame, threshold: float = 0.7, context: Dat
 
 
 def rejected(sentences: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, sent_index, reason, sent): each reference, and the first sentence of each key that fails the gate."""
+    """(doc_id, sent_index, reason, sent): each reference, and the first sentence of each key that fails the gate.
+
+    One pass: references and others are numbered apart by one window.
+    """
     df = _future_candidates(sentences, threshold)
-    rest = df.where("not is_ref")
-    failed = _first(rest.where("not keep")) if _by_rules(sentences) else _first(rest).where("not keep")
-    cols = lambda d, reason: d.select("doc_id", "sent_index", F.lit(reason).alias("reason"), "sent")
-    return cols(df.where("is_ref"), "future_dir_reject_ref").unionByName(cols(failed, "future_dir_reject"))
+    if _by_rules(sentences):  # a key fails as a whole, so the gate may go first
+        df = df.where(F.col("is_ref") | ~F.col("keep"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "key", "is_ref").orderBy("sent_index"))
+    df = df.withColumn("nth", nth).where(F.col("is_ref") | ((F.col("nth") == 1) & ~F.col("keep")))
+    return df.select("doc_id", "sent_index", F.when(F.col("is_ref"), "future_dir_reject_ref").otherwise("future_dir_reject").alias("reason"), "sent")
+
+
+def counted(parts: DataFrame) -> DataFrame:
+    """(doc_id, n_rq, n_lim, n_fd, n_steps) by the rules, from ``sections.explode_parts`` with the parts rq, lim and fd.
+
+    One pass over the texts; sentences that no gate lets pass collapse to a row a document
+    before the shuffle, which is on the document.
+    """
+    low, part = F.col("key"), F.col("part")
+    lim = X.has_any(F.lower("sent"), L.LIMIT)
+    hook, modal = X.has_any(low, L.FUTURE), X.has_any(F.concat(F.lit(" "), low, F.lit(" ")), L.MODAL)
+    future = F.length("sent").between(40, 350) & hook & (modal | X.will_infinitive(low)) & ~X.looks_like_reference(F.col("sent"))
+    said = F.lower("sent")
+    item = F.when((part == "rq") & _asks(parts)[0], F.struct(F.lit("rq").alias("part"), low.alias("key"), F.lit(0).alias("at"), F.lit(False).alias("step")))
+    item = item.when((part == "fd") & future, F.struct(F.lit("fd").alias("part"), low.alias("key"), F.lit(0).alias("at"), F.lit(False).alias("step")))
+    item = item.when((part == "lim") & lim, F.struct(part.alias("part"), F.lit("").alias("key"), F.col("sent_index").cast("int").alias("at"), (said.contains("small sample") | said.contains("lack of")).alias("step")))
+    one = parts.select("doc_id", item.alias("x")).groupBy("doc_id", "x").agg(F.count("*").alias("n"))
+    n = lambda name: F.count_if(F.col("x.part") == name)
+    lims = F.slice(F.array_sort(F.collect_list(F.when(F.col("x.part") == "lim", F.struct("x.at", "x.step")))), 1, 5)
+    per = one.groupBy("doc_id").agg(n("rq").alias("n_rq"), n("lim").alias("n_lim"), n("fd").alias("n_fd"), F.size(F.filter(lims, lambda x: x["step"])).alias("lacks"))
+    return per.select("doc_id", "n_rq", "n_lim", "n_fd", (F.least("n_rq", F.lit(5)) + F.col("lacks")).alias("n_steps"))
 
 
 def split_valid(df: DataFrame, rules: dict[str, Column], strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -9,9 +9,9 @@ from ..functions import lexicon as L
 from ..functions import text as X
 
 
-def line_section(line: Column) -> Column:
-    """The section that a line switches to, NULL where it goes on."""
-    low, out = F.lower(line), None
+def line_section(low: Column) -> Column:
+    """The section that a line (lower case) switches to, NULL where it goes on."""
+    out = None
     for name, needs in L.SECTIONS:
         hit = low.rlike(needs[0])
         for more in needs[1:]:
@@ -23,20 +23,35 @@ def line_section(line: Column) -> Column:
 def split_sections(text: Column, wide: bool = False) -> Column:
     """MAP of all sections to their lines, each ended by a line feed.
 
-    The lines are put on end with a mark before each that switches; a section is all that
-    follows its marks, up to the next. This takes one pass, where a fold over the lines or a
-    window over exploded lines would copy or shuffle the text. The two control characters
-    that mark are left out of texts.
+    The lines are put on end with a mark before each that switches, and cut at the marks; a
+    section is all pieces that its name begins. This takes one pass, where a fold over the
+    lines or a window over exploded lines would copy or shuffle the text. What is used more
+    than once is bound by a lambda, so that no plan holds it twice. The two control
+    characters that mark are left out of texts.
     """
     lines = F.filter(F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002", ""), X.LINE), lambda x: X.strip(x, wide)), lambda x: x != "")
-    marked = F.concat(F.lit("\u0001introduction\u0002"), F.array_join(F.transform(lines, lambda x: F.concat(F.coalesce(F.concat(F.lit("\u0001"), line_section(x), F.lit("\u0002")), F.lit("")), x, F.lit("\n"))), ""))
-    body = lambda name: F.array_join(F.regexp_extract_all(marked, F.lit(f"\u0001{name}\u0002([^\u0001]*)"), F.lit(1)), "")
-    return F.create_map(*[x for name in L.SECTION_NAMES for x in (F.lit(name), body(name))])
+    both = F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    said = F.transform(both, lambda x: F.concat(F.coalesce(F.concat(F.lit("\u0001"), line_section(x["low"]), F.lit("\u0002")), F.lit("")), x["line"], F.lit("\n")))
+    pieces = F.split(F.concat(F.lit("introduction\u0002"), F.array_join(said, "")), "\u0001")
+    names = F.array(*map(F.lit, L.SECTION_NAMES))
+    body = lambda p, name: F.array_join(F.transform(F.filter(p, lambda x: F.startswith(x, F.concat(name, F.lit("\u0002")))), lambda x: F.substr(x, F.length(name) + 2)), "")
+    return F.transform(F.array(pieces), lambda p: F.map_from_arrays(names, F.transform(names, lambda name: body(p, name))))[0]
 
 
 def explode_sentences(docs: DataFrame, text: Column, mode: str = "naive", wide: bool = False) -> DataFrame:
-    """(doc_id, sent_index, sent) of the sentences of ``text``."""
-    return docs.select("doc_id", F.posexplode(X.sentences(text, mode, wide)).alias("sent_index", "sent"))
+    """(doc_id, sent_index, sent, key) of the sentences of ``text``; ``key`` is what repetitions are told by.
+
+    The generator is an outer one and its empty rows are dropped afterwards: for a plain one
+    Catalyst infers a filter on the array's size, which would split every text once more.
+    """
+    keyed = F.transform(X.sentences(text, mode, wide), lambda s: F.struct(s.alias("sent"), X.dedup_key(s).alias("key")))
+    return docs.select("doc_id", F.posexplode_outer(keyed).alias("sent_index", "s")).where("s is not null").select("doc_id", "sent_index", "s.sent", "s.key")
+
+
+def explode_parts(docs: DataFrame, parts: dict[str, Column], mode: str = "naive", wide: bool = False) -> DataFrame:
+    """(doc_id, part, sent_index, sent, key) of the sentences of several texts of each document, in one pass; one row without a part for a document that has none."""
+    own = lambda name, text: F.transform(X.sentences(text, mode, wide), lambda s, i: F.struct(F.lit(name).alias("part"), i.alias("sent_index"), s.alias("sent"), X.dedup_key(s).alias("key")))
+    return docs.select("doc_id", F.explode_outer(F.concat(*[own(n, t) for n, t in parts.items()])).alias("s")).select("doc_id", "s.*")
 
 
 def question_bucket(s: Column) -> Column:

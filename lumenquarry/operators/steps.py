@@ -47,11 +47,13 @@ def top_steps(steps: DataFrame, n: int = 5) -> DataFrame:
 def doc_totals(docs: DataFrame, questions: DataFrame, limitations: DataFrame, future: DataFrame) -> DataFrame:
     """Counts for every document, those with none included. Steps don't count as extractions."""
     one = lambda df, kind: df.select("doc_id", F.lit(kind).alias("kind"))
-    found = one(questions, "rq").unionByName(one(limitations, "lim")).unionByName(one(future, "fd"))
+    found = one(questions, "rq").unionByName(one(limitations, "lim")).unionByName(one(future, "fd")).unionByName(one(docs, "doc"))
     per = found.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("rq", "n_rq"), ("lim", "n_lim"), ("fd", "n_fd"))])
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
-    out = docs.select("doc_id").join(per, "doc_id", "left").select("doc_id", *[zero(c).alias(c) for c in ("n_rq", "n_lim", "n_fd")])
-    return out.withColumn("total_extractions", F.col("n_rq") + F.col("n_lim") + F.col("n_fd"))
+    return with_total(per)
+
+
+def with_total(counts: DataFrame) -> DataFrame:
+    return counts.select("doc_id", "n_rq", "n_lim", "n_fd", (F.col("n_rq") + F.col("n_lim") + F.col("n_fd")).alias("total_extractions"))
 
 
 def corpus_totals(totals: DataFrame) -> DataFrame:

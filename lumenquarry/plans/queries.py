@@ -73,11 +73,11 @@ def sentence_split_stats(spark, sf_dir):
 
 
 def section_map(spark, sf_dir):
-    return _sectioned(spark, sf_dir).select("doc_id", F.explode("s").alias("section", "body")).where("body <> ''").select("doc_id", "section", F.length("body").cast("bigint").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("digest"))
+    return _sectioned(spark, sf_dir).select("doc_id", F.explode_outer("s").alias("section", "body")).where("body <> ''").select("doc_id", "section", F.length("body").cast("bigint").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
 def section_sizes(spark, sf_dir):
-    return _sectioned(spark, sf_dir).select(F.explode("s").alias("section", "body")).groupBy("section").agg(F.count_if(F.col("body") != "").alias("n_docs"), F.sum(F.length("body")).alias("n_chars"))
+    return _sectioned(spark, sf_dir).select(F.explode_outer("s").alias("section", "body")).groupBy("section").agg(F.count_if(F.col("body") != "").alias("n_docs"), F.sum(F.length("body")).alias("n_chars"))
 
 
 def research_questions(spark, sf_dir):
@@ -127,8 +127,15 @@ def priority_topn(spark, sf_dir):
     return steps.top_steps(_steps(spark, sf_dir), 3).select("doc_id", "rank", "question", "priority")
 
 
+def _counted(spark, sf_dir):
+    """All counts of each document, from one pass over the texts."""
+    docs = seeded(spark, sf_dir).select("doc_id", "text", sections.split_sections(F.col("text")).alias("s"))
+    s = F.col("s")
+    return extract.counted(sections.explode_parts(docs, {"rq": sections.question_bucket(s), "lim": sections.limitation_bucket(s), "fd": F.col("text")}))
+
+
 def _totals(spark, sf_dir):
-    return steps.doc_totals(seeded(spark, sf_dir), _questions(spark, sf_dir), _limits(spark, sf_dir), _future(spark, sf_dir))
+    return steps.with_total(_counted(spark, sf_dir))
 
 
 def doc_rollup(spark, sf_dir):
@@ -140,7 +147,8 @@ def corpus_stats(spark, sf_dir):
 
 
 def run_metrics(spark, sf_dir):
-    return steps.metrics(seeded(spark, sf_dir), _questions(spark, sf_dir), _steps(spark, sf_dir), _future(spark, sf_dir))
+    zero = F.lit(0).cast("bigint")
+    return _counted(spark, sf_dir).agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(c).cast("bigint"), zero).alias(n) for c, n in (("n_rq", "rqs"), ("n_steps", "steps"), ("n_fd", "future"))])
 
 
 def rule_features(spark, sf_dir):

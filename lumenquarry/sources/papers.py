@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as X
+from ..shared import staged
 
 FIELDS = ("title", "abstract", "text", "doi")
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
@@ -24,10 +25,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = SCHEMA) -> tup
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    """Missing fields are empty; an empty text is the abstract and the title; a doc_id is made of the content where there is none."""
+    """Missing fields are empty; an empty text is the abstract and the title; rows are numbered where they have no doc_id.
+
+    Equal papers have numbers of their own. A number is the row's place in its partition, so
+    what is used more than once has to be written first, as ``load`` does.
+    """
     have = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f in df.columns else F.lit("") for f in FIELDS}
     text = F.when(have["text"] == "", X.strip(F.concat_ws(" ", have["abstract"], have["title"]))).otherwise(have["text"])
-    key = F.col("doc_id") if "doc_id" in df.columns else F.xxhash64(*have.values())
+    key = F.col("doc_id") if "doc_id" in df.columns else F.monotonically_increasing_id()
     return df.select(key.alias("doc_id"), have["title"].alias("title"), have["abstract"].alias("abstract"), text.alias("text"), have["doi"].alias("doi"))
 
 
@@ -67,10 +72,9 @@ def read_pdfs(spark: SparkSession, folder: str, tei_service: Callable[[bytes], s
 
 
 def load(spark: SparkSession, path: str, **pdf) -> DataFrame:
-    """Papers of a ``.jsonl`` file or of a folder of PDF files."""
-    if path.lower().endswith(".jsonl"):
-        return with_defaults(read_json_lines(spark, path)[0])
-    return with_defaults(read_pdfs(spark, path, **pdf))
+    """Papers of a ``.jsonl`` file or of a folder of PDF files, written to the shared folder."""
+    papers = read_json_lines(spark, path)[0] if path.lower().endswith(".jsonl") else read_pdfs(spark, path, **pdf)
+    return staged(with_defaults(papers), "papers")
 
 
 def lookup(keys: DataFrame, provider: Callable[[str, str], str | None]) -> DataFrame:
@@ -84,8 +88,12 @@ def lookup(keys: DataFrame, provider: Callable[[str, str], str | None]) -> DataF
     return distinct.mapInPandas(run, "key string, work string").select("key", S.openalex(F.col("work")).alias("openalex"))
 
 
-def enrich(docs: DataFrame, works: DataFrame | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, entities: Callable[[str], list[tuple[str, str]]] | None = None, entity_text: Column | None = None) -> DataFrame:
-    """``docs`` with openalex, embedding and entities; what isn't plugged in is NULL or empty."""
+def enrich(docs: DataFrame, works: DataFrame | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, entities: Callable[[str], list[tuple[str, str]]] | None = None, entity_text: Column | None = None, entity_chars: int | None = None, most_entities: int | None = None) -> DataFrame:
+    """``docs`` with openalex, embedding and entities; what isn't plugged in is NULL or empty.
+
+    Entities are looked for in the whole of ``entity_text``, unless the caller gives a number
+    of characters that are read or of entities that are kept.
+    """
     out = docs
     if works is None:
         out = out.withColumn("openalex", S.openalex(F.lit(None).cast("string")))
@@ -106,6 +114,7 @@ def enrich(docs: DataFrame, works: DataFrame | None = None, embedder: Callable[[
 
     @F.pandas_udf(kind)
     def find(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"text": a, "label": b} for a, b in entities(t or "")[:500]])
+        return s.map(lambda t: [{"text": a, "label": b} for a, b in entities(t or "")[:most_entities]])
 
-    return out.withColumn("entities", find(F.substring(F.col("text") if entity_text is None else entity_text, 1, 20_000)))
+    read = F.col("text") if entity_text is None else entity_text
+    return out.withColumn("entities", find(F.substring(read, 1, entity_chars) if entity_chars else read))

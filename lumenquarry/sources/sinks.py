@@ -13,7 +13,7 @@ ATTRIBUTES = ("title", "embedding", "openalex", "entities")
 
 
 def with_attributes(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each item with its document's attributes, a hundred entities at most."""
+    """Each item with its document's attributes (a hundred of its entities, as the written form has)."""
     own = docs.select("doc_id", "title", "embedding", "openalex", F.slice("entities", 1, 100).alias("entities"))
     return items.join(own, "doc_id")
 

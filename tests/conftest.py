@@ -2,9 +2,14 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+import plugins  # noqa: E402
+
+cloudpickle.register_pickle_by_value(plugins)  # workers don't have this folder
 
 
 @pytest.fixture(scope="session")

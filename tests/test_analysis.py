@@ -36,6 +36,26 @@ def test_golden_paper(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/future_directions.jsonl")).count() == 1
 
 
+def test_equal_papers_stay_apart(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text((json.dumps(PAPER) + "\n") * 2)
+    a = analyze.analyze(papers.load(spark, str(tmp_path / "in.jsonl"))).write(str(tmp_path / "out"))
+    m = a.metrics().first()
+    assert (m["docs"], m["rqs"], m["steps"], m["future"]) == (2, 2, 4, 2)
+    assert spark.read.json(str(tmp_path / "out/limitations.jsonl")).count() == 4 and a.summary().count() == 2
+
+
+def test_semantic_gates_and_context(spark):
+    from plugins import letters
+
+    text = "Further research is needed to see all this now. The cat sat on a mat in the hall then. It remains to be determined whether all is so."
+    docs = papers.with_defaults(spark.createDataFrame([(1, "T", "", text, "")], "doc_id long, title string, abstract string, text string, doi string"))
+    plain = analyze.analyze(docs).future.collect()
+    assert [r["sent_index"] for r in plain] == [2]
+    found = analyze.analyze(docs, analyze.Options(embedder=letters, similarity=0.9, context=True, around=0, similar=1)).future.collect()
+    assert {r["sent_index"] for r in found} >= {0, 2} and all(r["signals"]["semantic"] and r["confidence"] == 0.9 for r in found)
+    assert {r["sent_index"]: r["context"] for r in found}[0].startswith("It remains")
+
+
 def test_defaults(spark):
     df = papers.with_defaults(spark.createDataFrame([("t", None, "", None)], "title string, abstract string, text string, doi string"))
     r = df.first()
@@ -102,7 +122,7 @@ def test_stub_records(spark):
 
 def test_wire(spark):
     lines = spark.createDataFrame([(x,) for x in ("", "no", '{"a":1}', '{"type":"data_result","payload":{"topic":"t","feasibility_score":0.5}}')], "value string")
-    got = matching.from_wire(matching.parse(lines)).collect()
+    got = matching.from_wire(matching.parse(lines)).select("topic", "side", "score").collect()
     assert [(r["topic"], r["side"], r["score"]) for r in got] == [("t", "data", 0.5)]
 
 
