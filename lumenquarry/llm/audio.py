@@ -9,16 +9,20 @@ until it is below ``OFF`` for ``HANG`` frames. Every segment is cut into tensors
 frames by ``MELS`` bands, which overlap by half; the last is filled up with the floor. A row
 has one tensor, its time span, and the span of its segment.
 
-Tensors have one shape. In a DataFrame they are ARRAY<FLOAT> of FRAMES * MELS values, row by
-row; ``write_tensors`` stores them as Arrow's fixed-shape tensor extension type in Parquet
-files, one for each task in the shared folder, and ``read_tensors`` gives one such file's
-tensors as one numpy array.
+Tensors have one shape. ``audio_features`` gives a row for each, as ARRAY<FLOAT> of FRAMES *
+MELS values, row by row, since Spark has no tensor type. ``audio_tensors`` gives a row for
+each recording and stores its tensors as Arrow's fixed-shape tensor extension type with their
+time spans: a BINARY column of Arrow IPC streams. Whatever sink takes that DataFrame writes
+them, through Spark's own commit and file system, so lost executors leave no halves.
+``unpack`` turns it into rows again, ``read_tensors`` one stream into a numpy array.
 
 Records are worked on one by one within their tasks; no shuffle, no record meets another.
 
-Defined cases: NULL, empty, broken or silent audio (no frame over the threshold) gives no row,
-as does audio shorter than one window; cut-off WAV data count as far as they go; NULLs in other columns
-pass through; repeated rows give repeated tensors; an empty table gives an empty one; other
+Defined cases: NULL, empty, broken or silent audio (no frame over the threshold) has no
+tensors, as does audio shorter than one window, and a WAV header with a sampling rate out of
+``RATES`` or an encoding other than those above counts as broken; cut-off WAV data count as far as they go;
+a very long recording needs memory in proportion to its length (some 40 bytes a sample); NULLs in other columns
+pass through; repeated rows give repeated tensors; there are no ties; an empty table gives an empty one; other
 columns keep their names, and the new ones must not be among them.
 """
 
@@ -30,15 +34,19 @@ from functools import lru_cache
 from math import gcd
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, prepare
+from .common import col, fresh, prepare
 
 RATE, WINDOW, HOP, FFT, MELS, FRAMES = 16_000, 400, 160, 512, 32, 32
 ON, OFF, HANG, CEILING, FLOOR = 12.0, 6.0, 4, -50.0, 1e-10
 TAPS, BETA = 16, 8.6
+#: Sampling rates that are taken for such; others come from broken headers and would need filters of any size.
+RATES = (1_000, 384_000)
 COLUMNS = T.StructType([T.StructField("segment", T.IntegerType(), False), T.StructField("chunk", T.IntegerType(), False), *[T.StructField(x, T.DoubleType(), False) for x in ("start_s", "end_s", "segment_start_s", "segment_end_s")], T.StructField("log_mel", T.ArrayType(T.FloatType(), False), False)])
 
 
@@ -52,12 +60,14 @@ def read_wav(data: bytes | None) -> tuple[np.ndarray, int] | None:
         body = data[at + 8 : at + 8 + size]
         if name == b"fmt " and len(body) >= 16:
             how = struct.unpack("<HHIIHH", body[:16])
+            if how[0] == 0xFFFE:  # the kind stands in the extension
+                how = (int.from_bytes(body[24:26], "little"), *how[1:]) if len(body) >= 26 else (0, *how[1:])
         elif name == b"data":
             if how is None:
                 return None
             kind, channels, rate, _, _, bits = how
             width = bits // 8
-            if not (channels and rate and width) or width > 4 or kind not in (1, 3, 0xFFFE) or (kind == 3 and width != 4):
+            if not (channels and width and RATES[0] <= rate <= RATES[1]) or bits % 8 or width > 4 or kind not in (1, 3) or (kind == 3 and width != 4):
                 return None
             raw = np.frombuffer(body[: len(body) // (width * channels) * width * channels], np.uint8).reshape(-1, width)
             if kind == 3:
@@ -78,7 +88,7 @@ def write_wav(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
 
 
-@lru_cache(16)
+@lru_cache(4)
 def _branches(up: int, down: int) -> tuple[np.ndarray, int]:
     """The filter's taps by phase, (up, taps), and how many input samples lie before the middle."""
     wide = max(up, down)
@@ -100,16 +110,17 @@ def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
     h, half = _branches(up, down)
     taps = h.shape[1]
     size = -(-x.size * up // down)
-    n = np.arange(size) * down + half  # places in the stuffed signal, the filter's delay added
-    phase, last = n % up, n // up
-    padded = np.concatenate([np.zeros(taps - 1), x, np.zeros(max(0, int(last[-1]) + 1 - x.size))])
+    ahead = ((size - 1) * down + half) // up + 1 - x.size
+    padded = np.concatenate([np.zeros(taps - 1), x, np.zeros(max(0, ahead))])
     near = np.lib.stride_tricks.sliding_window_view(padded, taps)
     out = np.empty(size)
-    for p in range(min(up, size)):
-        own = np.flatnonzero(phase == phase[p]) if up > 1 else np.arange(size)
-        own = own[::1]
-        for part in np.array_split(own, max(1, own.size * taps >> 21)):
-            out[part] = near[last[part]] @ h[phase[p], ::-1]
+    for p in range(min(up, size)):  # outputs p, p + up, ... have one phase and lie down samples apart
+        last, phase = divmod(p * down + half, up)
+        rows, branch = near[last::down], h[phase, ::-1]
+        n = -(-(size - p) // up)
+        for i in range(0, n, 1 << 16):
+            j = min(n, i + (1 << 16))
+            out[p + i * up : p + (j - 1) * up + 1 : up] = rows[i:j] @ branch
     return out
 
 
@@ -215,51 +226,61 @@ def tensor_type() -> pa.ExtensionType:
     return pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS], dim_names=["frame", "mel"])
 
 
-def to_tensors(batch: pa.RecordBatch, column: str = "log_mel") -> pa.RecordBatch:
-    """The same rows with ``column`` as Arrow's fixed-shape tensor type."""
-    i = batch.schema.names.index(column)
-    lists = batch.column(i)
-    values = lists.flatten().cast(pa.float32())
-    tensors = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(values, FRAMES * MELS))
-    return pa.RecordBatch.from_arrays([*batch.columns[:i], tensors, *batch.columns[i + 1 :]], [*batch.schema.names[:i], column, *batch.schema.names[i + 1 :]])
+def packed(rows: list[tuple]) -> bytes:
+    """An Arrow IPC stream of a recording's tensors (the extension type) with their places and spans."""
+    *plain, tensors = zip(*rows)
+    kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
+    flat = pa.array(np.concatenate([t.ravel() for t in tensors]))
+    arrays = [*[pa.array(x, k) for x, k in zip(plain, kinds)], pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS))]
+    batch, sink = pa.RecordBatch.from_arrays(arrays, COLUMNS.names), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def write_tensors(features: DataFrame, path: str) -> DataFrame:
-    """Write one Parquet file with the extension type for each task; (file, rows) of those that stand.
+def stream_of(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-    ``path`` is a folder that all executors share. A task writes under a name of its own and
-    renames at its end, so a task that runs again leaves no halves.
-    """
-    prepare(features.sparkSession)
-    root = path.removeprefix("file://")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
+def read_tensors(data: bytes) -> np.ndarray:
+    """The tensors of one stream, (tensors, FRAMES, MELS)."""
+    return stream_of(data).column("log_mel").combine_chunks().to_numpy_ndarray()
 
-        import pyarrow.parquet as pq
-        from pyspark import TaskContext
 
-        os.makedirs(root, exist_ok=True)
-        to, part, writer, rows = f"{root}/part-{TaskContext.get().partitionId():05d}.parquet", f"{root}/.{uuid.uuid4().hex}", None, 0
-        for b in batches:
-            if b.num_rows:
-                b = to_tensors(b)
-                writer = writer or pq.ParquetWriter(part, b.schema)
-                writer.write_batch(b)
-                rows += b.num_rows
-        if writer:
-            writer.close()
-            os.replace(part, to)
-            yield pa.RecordBatch.from_pydict({"file": [to], "rows": [rows]})
+def audio_tensors(df: DataFrame, audio: str = "audio", out: str = "tensors", count: str = "n_tensors") -> DataFrame:
+    """``df`` with its WAV column ``audio`` replaced by ``count`` and ``out``: the recording's tensors as an Arrow IPC stream, NULL where there are none."""
+    clash = {c.lower() for c in df.columns if c != audio} & {out.lower(), count.lower()}
+    if clash:
+        raise ValueError(f"there are columns {sorted(clash)} already; name others")
+    prepare(df.sparkSession)
+
+    @F.pandas_udf("n int, x binary")
+    def pack(s: pd.Series) -> pd.DataFrame:
+        rows = [list(features(data)) for data in s]
+        return pd.DataFrame({"n": np.array([len(r) for r in rows], np.int32), "x": [packed(r) if r else None for r in rows]})
 
-    return features.mapInArrow(run, "file string, rows long")
+    (at,) = fresh(df, "packed")
+    return df.withColumn(at, pack(col(audio))).select(*[col(c) for c in df.columns if c != audio], F.col(at)["n"].alias(count), F.col(at)["x"].alias(out))
 
 
-def read_tensors(file: str) -> np.ndarray:
-    import pyarrow.parquet as pq
+def unpack(df: DataFrame, tensors: str = "tensors") -> DataFrame:
+    """A row for each tensor of what ``audio_tensors`` made, as ``audio_features`` gives it."""
+    prepare(df.sparkSession)
+    others = [c for c in df.columns if c != tensors]
+    inner = T.StructType([*[T.StructField(f"c{i}", df.schema[c].dataType, True) for i, c in enumerate(others)], *COLUMNS])
 
-    return pq.read_table(file).column("log_mel").combine_chunks().to_numpy_ndarray()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, data in enumerate(b.column(0)):
+                if data.is_valid:
+                    t = stream_of(data.as_py()).combine_chunks()
+                    own = [c.take(pa.array([i] * t.num_rows, pa.int64())) for c in b.columns[1:]]
+                    x = t.column("log_mel").chunk(0).storage
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(t.num_rows + 1, dtype=np.int32) * FRAMES * MELS), x.flatten())
+                    yield pa.RecordBatch.from_arrays([*own, *[t.column(n).chunk(0) for n in COLUMNS.names[:-1]], lists], inner.names)
+
+    plain = df.select(col(tensors).alias("x"), *[col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    return plain.mapInArrow(run, inner).toDF(*others, *COLUMNS.names)
 
 
 VOICE_RATE = 8_000

@@ -18,10 +18,10 @@ def _voices(texts: pd.Series) -> pd.Series:
 
 
 def op2_audio(spark, sf_dir):
-    """Every turn of the conversations, voiced by a stand-in, as the tables hold no recordings."""
+    """The tensors of every turn of the conversations, voiced by a stand-in, as the tables hold no recordings."""
     turns = table(spark, sf_dir, "conversations")
     voice = F.pandas_udf(_voices, "binary")
-    return audio.audio_features(turns.select("conv_id", "turn", voice("text").alias("audio")))
+    return audio.audio_tensors(turns.select("conv_id", "turn", voice("text").alias("audio")))
 
 
 def op3_sharding(spark, sf_dir):
