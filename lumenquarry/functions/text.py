@@ -13,7 +13,7 @@ from . import lexicon as L
 SENTENCE = r"[^.!?]*[.!?]|[^.!?]+"
 LINE = r"\R|[\x1c-\x1e]"
 REFERENCE = r"doi:|https?://|\b(?:isbn|issn|pp\.|vol\.|et al\.)\b|\([0-9]{4}\)"
-ABBREVIATION = r"\b(Dr|Mr|Mrs|Ms|Prof|Fig|Figs|Eq|No|Vol|vs|cf|al|etc|approx|St|e\.g|i\.e)\."
+ABBREVIATION = r"(^|[^0-9A-Za-z_])(Dr|Mr|Mrs|Ms|Prof|Fig|Figs|Eq|No|Vol|vs|cf|al|etc|approx|St|e\.g|i\.e)\."
 
 
 def _re(pattern: str, wide: bool) -> str:
@@ -94,8 +94,9 @@ def sentences(text: Column, mode: str = "naive", wide: bool = False) -> Column:
     if mode == "naive":
         parts = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
     elif mode == "smart":
-        held = F.regexp_replace(text, ABBREVIATION, "$1\u0001")
-        parts = F.transform(F.regexp_extract_all(held, F.lit(r"[^.!?]*[.!?]+(?=\s|$)|[^.!?]+(?:[.!?]+(?!\s|$)[^.!?]*)*[.!?]*"), F.lit(0)), lambda p: F.replace(p, F.lit("\u0001"), F.lit(".")))
+        held = F.regexp_replace(text, ABBREVIATION, "$1$2\u0001")
+        ended = F.split(F.regexp_replace(held, r"([.!?]+)(?=\s|\z)", "$1\u0002"), "\u0002")
+        parts = F.transform(ended, lambda p: F.replace(p, F.lit("\u0001"), F.lit(".")))
     else:
         raise ValueError("mode is naive or smart")
     return F.filter(F.transform(parts, lambda p: strip(p, wide)), lambda p: p != "")

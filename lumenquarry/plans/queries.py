@@ -200,8 +200,8 @@ def _sides(spark, sf_dir):
     return e.select(F.col("user_id").alias("topic"), "ts", "event_id", F.when(F.col("event_type") == "view", "data").when(F.col("event_type") == "click", "lit").alias("side"), F.col("value").alias("score")).where("side is not null")
 
 
-def _latest(spark, sf_dir):
-    last = match.latest(_sides(spark, sf_dir), ["topic", "side"], ["ts", "event_id"], "score")
+def _latest(spark, sf_dir, topic="topic"):
+    last = match.latest(_sides(spark, sf_dir).withColumn("topic", F.expr(topic)), ["topic", "side"], ["ts", "event_id"], "score")
     side = lambda s, name: last.where(F.col("side") == s).select("topic", F.col("score").alias(name))
     return side("data", "feasibility_score"), side("lit", "significance_score")
 
@@ -211,13 +211,17 @@ def topic_match(spark, sf_dir):
     return d.join(lit, "topic").select("topic", F.round(0.6 * F.col("feasibility_score") + 0.4 * F.col("significance_score"), 3).alias("combined"))
 
 
+#: A user's day, as there are users on both sides always.
+BY_DAY = "topic * 100 + day(ts)"
+
+
 def unmatched_data(spark, sf_dir):
-    d, lit = _latest(spark, sf_dir)
+    d, lit = _latest(spark, sf_dir, BY_DAY)
     return match.unmatched(d, lit)
 
 
 def unmatched_lit(spark, sf_dir):
-    d, lit = _latest(spark, sf_dir)
+    d, lit = _latest(spark, sf_dir, BY_DAY)
     return match.unmatched(lit, d)
 
 
@@ -256,16 +260,17 @@ def enrich_left_join(spark, sf_dir):
 
 
 def label_clean(spark, sf_dir):
-    """A line of CSV made of each document, some of them broken, through the cleaner."""
+    """A line of CSV made of each whole document, some of them broken, through the cleaner."""
     k = F.col("doc_id") % 6
-    sent = F.regexp_replace(F.substring("text", 1, 60), r"[\r\n]", " ")
+    sent = F.regexp_replace("text", r"[\r\n]", " ")
     line = F.when(k == 0, F.concat(F.lit('"'), sent, F.lit('",1'))).when(k == 1, F.concat(sent, F.lit(",2"))).when(k == 2, F.concat(F.lit("# "), sent)).when(k == 3, F.translate(sent, ",", ";")).when(k == 4, F.concat(F.lit("﻿"), sent, F.lit(" , 0 \r"))).otherwise(F.concat(sent, F.lit(",")))
     lines = table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
     return label_source.clean_lines(lines).select("doc_id", "sentence", "label", "bad")
 
 
 def labeled_examples(spark, sf_dir):
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("").alias("sentence"), F.col("source").alias("text"), F.when(F.col("doc_id") % 4 == 0, "1.0").when(F.col("doc_id") % 4 == 1, "yes").when(F.col("doc_id") % 4 == 2, "0").otherwise(None).alias("label"), F.lit("1").alias("requires_new_data"))
+    """Whole texts as sentences under one of the two names, with labels of all kinds."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" \n"), "text")).otherwise("").alias("sentence"), F.when(F.col("doc_id") % 3 > 0, F.concat("text", F.lit(" \t"))).alias("text"), F.when(F.col("doc_id") % 4 == 0, "1.0").when(F.col("doc_id") % 4 == 1, "yes").when(F.col("doc_id") % 4 == 2, "0").otherwise(None).alias("label"), F.lit("1").alias("requires_new_data"))
     return label_source.examples(raw, keep=["doc_id"])
 
 

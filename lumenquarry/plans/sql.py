@@ -72,11 +72,12 @@ BOTH = f"{SEEDED}, {SECTIONS}, {BUCKETS}, {RQ}, {LIM}"
 SIDES = "sides AS (SELECT user_id AS topic, ts, event_id, CASE event_type WHEN 'view' THEN 'data' WHEN 'click' THEN 'lit' END AS side, value AS score FROM events WHERE event_type IN ('view', 'click'))"
 LATEST = f"""{SIDES}, nth AS (SELECT *, row_number() OVER (PARTITION BY topic, side ORDER BY ts DESC, event_id DESC) AS nth FROM sides),
 d AS (SELECT topic, score AS feasibility_score FROM nth WHERE nth = 1 AND side = 'data'), l AS (SELECT topic, score AS significance_score FROM nth WHERE nth = 1 AND side = 'lit')"""
+LATEST_OF_DAY = LATEST.replace("user_id AS topic", "user_id * 100 + day(ts) AS topic")
 _counts = lambda low, phrases: "(" + " + ".join(f"contains({low}, {q(p)})::BIGINT" for p in phrases) + ")"
 _vec = lambda p: "[" + ", ".join(f"{x!r}::DOUBLE" for x in p) + "]"
 _cos = lambda a, b: f"coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0), 0.0)"
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
-_SENT60 = r"regexp_replace(substr(text, 1, 60), '[\r\n]', ' ', 'g')"
+_ONE_LINE = r"regexp_replace(text, '[\r\n]', ' ', 'g')"
 
 SQL = {
     "sentence_split_stats": f"WITH {SEEDED}, {sents('s', 'seeded', 'text')} SELECT lang, count(*)::BIGINT AS n_sentences, sum(length(sent))::BIGINT AS n_chars FROM s JOIN seeded USING (doc_id) GROUP BY lang",
@@ -104,8 +105,8 @@ SQL = {
     "strip_tags": "WITH s AS (SELECT page_id, replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', '') AS b FROM pages) SELECT page_id, length(b)::BIGINT AS n_chars, md5(b) AS digest FROM s",
     "tei_extract": rf"WITH s AS (SELECT page_id, {strip("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '(?s)<abstract[^>]*>(.*?)</abstract>', 1) AS a, regexp_extract(html, '(?s)<body[^>]*>(.*?)</body>', 1) AS b, {strip("regexp_extract(html, '(?s)idno type=" + chr(34) + "DOI" + chr(34) + "[^>]*>(.*?)</idno>', 1)")} AS doi FROM pages), t AS (SELECT *, replace(regexp_replace(a, '<[^>]*(>|$)', '', 'g'), '>', '') AS x, replace(regexp_replace(b, '<[^>]*(>|$)', '', 'g'), '>', '') AS y FROM s) SELECT page_id, title, length(x)::BIGINT AS abstract_len, md5(y) AS text_digest, doi FROM t",
     "topic_match": f"WITH {LATEST} SELECT topic, round(0.6 * feasibility_score + 0.4 * significance_score, 3) AS combined FROM d JOIN l USING (topic)",
-    "unmatched_data": f"WITH {LATEST} SELECT * FROM d ANTI JOIN l USING (topic)",
-    "unmatched_lit": f"WITH {LATEST} SELECT * FROM l ANTI JOIN d USING (topic)",
+    "unmatched_data": f"WITH {LATEST_OF_DAY} SELECT * FROM d ANTI JOIN l USING (topic)",
+    "unmatched_lit": f"WITH {LATEST_OF_DAY} SELECT * FROM l ANTI JOIN d USING (topic)",
     "stub_match": "SELECT unnest(['metagenomics IBD remission', 'infant microbiome antibiotic exposure', 'human gut microbiome 16S', 'microbiome antibiotics longitudinal adults', 'IBD antibiotics recovery']) AS topic, 0.788::DOUBLE AS combined, 5::BIGINT AS n_counts",
     "rps_sliding": "WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) SELECT start, count(*)::BIGINT AS n, round(count(*) / 3600.0::DOUBLE, 9) AS rps FROM w GROUP BY start",
     "match_rate": "SELECT date_trunc('hour', ts) AS start, count(*)::BIGINT AS n, round(count(*) / 3600.0::DOUBLE, 9) AS rate FROM events GROUP BY 1",
@@ -115,13 +116,13 @@ SQL = {
         b AS (SELECT *, substr(' ▁▂▃▄▅▆▇█', floor(((v) - lo) / (hi - lo + 1e-9) * 7)::INT + 2, 1) AS bar FROM k)
         SELECT user_id, CASE WHEN max(hi) - max(lo) < 1e-9 THEN repeat('█', count(*)::INT) ELSE rpad(string_agg(bar, '' ORDER BY ts, event_id), 24, ' ') END AS bars FROM b GROUP BY user_id""",
     "enrich_left_join": "SELECT d.doc_id, lang, source, coalesce(quality, -1)::BIGINT AS quality, coalesce(toxic, 0)::BIGINT AS toxic FROM documents d LEFT JOIN labels USING (doc_id)",
-    "label_clean": rf"""WITH t AS (SELECT doc_id, {_SENT60} AS s FROM documents),
+    "label_clean": rf"""WITH t AS (SELECT doc_id, {_ONE_LINE} AS s FROM documents),
         l AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '"' || s || '",1' WHEN 1 THEN s || ',2' WHEN 2 THEN '# ' || s WHEN 3 THEN replace(s, ',', ';') WHEN 4 THEN chr(65279) || s || ' , 0 ' || chr(13) ELSE s || ',' END AS line FROM t),
         c AS (SELECT doc_id, rtrim(replace(line, chr(65279), ''), chr(13) || chr(10)) AS line FROM l),
         k AS (SELECT * FROM c WHERE line <> '' AND NOT starts_with({strip('line')}, '#') AND lower({strip('line')}) <> 'sentence,label'),
         p AS (SELECT doc_id, NOT contains(line, ',') AS bad, CASE WHEN contains(line, ',') THEN {strip("regexp_extract(line, '(?s)^(.*),([^,]*)$', 1)")} ELSE {strip('line')} END AS s, CASE WHEN contains(line, ',') THEN {strip("regexp_extract(line, '(?s)^(.*),([^,]*)$', 2)")} ELSE '' END AS label FROM k)
         SELECT doc_id, CASE WHEN s = '"' THEN '' WHEN starts_with(s, '"') AND ends_with(s, '"') THEN substr(s, 2, length(s) - 2) ELSE s END AS sentence, CASE WHEN label IN ('0', '1') THEN label ELSE '' END AS label, bad FROM p""",
-    "labeled_examples": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS sentence, (CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 1 END)::BIGINT AS label FROM documents",
+    "labeled_examples": f"SELECT doc_id, {strip('text')} AS sentence, (CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 1 END)::BIGINT AS label FROM documents WHERE {strip('text')} <> ''",
     "report": """WITH j AS (SELECT quality AS y, 1 - toxic AS p, n_chars::DOUBLE AS s FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS k FROM j),
         c AS (SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 0 AND p = 0) AS tn, sum(k) FILTER (y = 1) AS ranks, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM r)
         SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS accuracy, round((ranks - n1 * (n1 + 1) / 2.0) / (n1 * n0)::DOUBLE, 6) AS auc FROM c""",

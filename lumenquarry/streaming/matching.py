@@ -130,9 +130,11 @@ def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sliding rate as a stream over the events: the windows that the watermark has closed."""
-    return _ran(rates(event_stream(spark, sf_dir), window="1 hour", slide="30 minutes", seconds=3600), "rates").select("start", "n", F.round("rps", 9).alias("rps"))
+    done = rates(event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), window="1 hour", slide="30 minutes", seconds=3600)
+    return _ran(done, "rates").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("rps", 9).alias("rps"))
 
 
 def event_match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tumbling rate as a stream over the events: the windows that the watermark has closed."""
-    return _ran(match_rates(event_stream(spark, sf_dir)), "match-rates").select("start", "n", F.round("rate", 9).alias("rate"))
+    done = match_rates(event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    return _ran(done, "match-rates").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("rate", 9).alias("rate"))

@@ -3,12 +3,20 @@ from sqlcheck import SF, same
 
 import __spark_entry__ as entry
 from lumenquarry.plans.queries import QUERIES
+from lumenquarry.plans.records_sql import RECORDS_SQL
 from lumenquarry.plans.sql import SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL | RECORDS_SQL))
 def test_query_equals_sql(spark, name):
-    same(spark, QUERIES[name], SQL[name])
+    assert same(spark, entry.queries()[name], (SQL | RECORDS_SQL)[name]) > 0
+
+
+@pytest.mark.parametrize(("name", "splits"), [("section_map", 2), ("research_questions", 2), ("limitations", 2), ("doc_rollup", 2), ("run_metrics", 2), ("next_steps", 4)])
+def test_texts_are_split_once(spark, name, splits):
+    """Sections take two splits, by lines and by marks; steps come from questions and from limitations."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == splits and plan.count("Relation [") == splits // 2
 
 
 def test_entry(spark):
