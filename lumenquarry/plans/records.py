@@ -57,7 +57,7 @@ def section_access(spark, sf_dir):
 def openalex_fields(spark, sf_dir):
     oa = F.col("oa")
     got = table(spark, sf_dir, "documents").select("doc_id", S.openalex(F.when(F.col("doc_id") % 5 > 0, work_json(F.col("doc_id"))).otherwise("no object")).alias("oa"))
-    return got.select("doc_id", oa["openalex_id"].alias("openalex_id"), oa["title_oa"].alias("title_oa"), oa["year"].cast("bigint").alias("year"), S.citations(oa).alias("citations"), F.array_join(oa["concepts"], ",").alias("concepts"), F.size(oa["related_ids"]).cast("bigint").alias("n_related"), F.array_join(oa["authors"], ",").alias("authors"), S.has_openalex(oa).alias("has_openalex"))
+    return got.select("doc_id", oa["openalex_id"].alias("openalex_id"), oa["title_oa"].alias("title_oa"), F.coalesce(oa["year"].cast("bigint"), F.lit(-1)).alias("year"), S.citations(oa).alias("citations"), F.array_join(oa["concepts"], ",").alias("concepts"), F.coalesce(F.size(oa["related_ids"]).cast("bigint"), F.lit(-1)).alias("n_related"), F.array_join(oa["authors"], ",").alias("authors"), S.has_openalex(oa).alias("has_openalex"))
 
 
 def enriched(spark, sf_dir):

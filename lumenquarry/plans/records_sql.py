@@ -30,7 +30,7 @@ RECORDS_SQL = {
     "paper_fields": f"WITH {SEEDED}, {PAPERS} SELECT doc_id, CASE WHEN doi <> '' THEN doi ELSE title END AS identifier, md5({strip('(abstract || chr(10) || text)')}) AS base_digest, md5('Title: ' || title || '. Abstract: ' || abstract) AS summary_digest FROM papers",
     "section_access": f"WITH {SEEDED}, {SECTIONS}, w AS (SELECT d.doc_id, {', '.join(f'{_body(s)} AS {s}' for s in L.SECTION_NAMES)} FROM seeded d LEFT JOIN sec USING (doc_id) GROUP BY d.doc_id) SELECT doc_id, length(methods)::BIGINT AS methods, 0::BIGINT AS nothing, md5(concat_ws(chr(10), nullif(introduction, ''), nullif(related, ''))) AS question_digest, md5(concat_ws(chr(10), nullif(discussion, ''), nullif(conclusion, ''), nullif(limitations, ''), nullif(future, ''))) AS future_digest FROM w",
     "openalex_fields": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN doc_id END AS k FROM documents)
-        SELECT doc_id, 'W' || k AS openalex_id, 'Work ' || k AS title_oa, (1990 + k % 30)::BIGINT AS year, coalesce(CASE WHEN k % 4 > 0 THEN k % 500 END, 0)::BIGINT AS citations, CASE WHEN k IS NOT NULL THEN array_to_string(list_transform(range(1, least(k % 14 + 1, 10) + 1), lambda i: 'c' || i), ',') END AS concepts, CASE WHEN k IS NOT NULL THEN least(k % 25 + 1, 20) END::BIGINT AS n_related, 'A' || k % 7 || ',B' AS authors, k IS NOT NULL AS has_openalex FROM d""",
+        SELECT doc_id, 'W' || k AS openalex_id, 'Work ' || k AS title_oa, coalesce(1990 + k % 30, -1)::BIGINT AS year, coalesce(CASE WHEN k % 4 > 0 THEN k % 500 END, 0)::BIGINT AS citations, CASE WHEN k IS NOT NULL THEN array_to_string(list_transform(range(1, least(k % 14 + 1, 10) + 1), lambda i: 'c' || i), ',') END AS concepts, CASE WHEN k IS NULL THEN -1 ELSE least(k % 25 + 1, 20) END::BIGINT AS n_related, 'A' || k % 7 || ',B' AS authors, k IS NOT NULL AS has_openalex FROM d""",
     "enriched": f"WITH {SEEDED}, {PAPERS} SELECT p.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'W' || l.doc_id END AS openalex_id, coalesce(CASE WHEN l.doc_id % 4 > 0 THEN l.doc_id % 500 END, 0)::BIGINT AS citations, 0::BIGINT AS n_embedding, 0::BIGINT AS n_entities FROM papers p LEFT JOIN labels l ON p.doi = '10.1/' || l.doc_id",
     "question_labels": f"WITH {BOTH} SELECT doc_id, sent_index::BIGINT AS sent_index, 'RQ[0.80]: ' || substr(question, 1, 80) || '...' AS label FROM rq",
     "record_round_trip": f"WITH {SEEDED}, {FD} SELECT doc_id, sent_index::BIGINT AS sent_index, 'future_direction' AS type, text, category, confidence, CASE WHEN hook AND modal THEN 'moderate' ELSE 'weak' END AS strength, (hook::INT + modal::INT + will_inf::INT)::BIGINT AS n_signals, false AS has_context, true AS no_classifier FROM fd",
