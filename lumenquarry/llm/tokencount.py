@@ -191,7 +191,7 @@ def pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, off in slices(b.column(0), 4 << 20):
+            for _, _, data, off in slices(b.column(0), 1 << 20):
                 t = vocabulary.split(data, off)
                 if not t.hash.size:
                     continue
@@ -205,6 +205,19 @@ def pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def joined(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to some bytes: the more words a trie has, the more they share."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def piece_counts(words: DataFrame, v: Vocabulary, merges: bool = False) -> np.ndarray:
     """How often each piece stands in the best segmentation of (word, n) under the scores of ``v``; with ``merges`` in the file's own."""
     shared = words.sparkSession.sparkContext.broadcast(v)
@@ -212,7 +225,7 @@ def piece_counts(words: DataFrame, v: Vocabulary, merges: bool = False) -> np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         by, total = pieces.Segmenter(v, 0.0), np.zeros(v.size, np.int64)
-        for b in batches:
+        for b in joined(batches):
             weight = b.column(1).to_numpy()
             for i, j, data, off in slices(b.column(0), 1 << 20):
                 t = vocabulary.whole(data, off)
