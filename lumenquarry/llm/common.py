@@ -1,18 +1,18 @@
-"""Shared helpers: tables, names that are free, and the cluster's shared folder."""
+"""Shared helpers: tables, names that are free, hashes that any SQL engine has."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..shared import discard, fresh_path, shared_dir, staged
+
+__all__ = ["col", "discard", "fresh", "fresh_path", "integral", "prepare", "shared_dir", "staged", "table", "unit", "unit_sql"]
 ROOT = str(Path(__file__).resolve().parents[2])
-_STAGED: list[tuple[SparkSession, str]] = []
 
 
 #: Texts differ in length by far: batches that go to Python are bounded in bytes, as memory is.
@@ -59,45 +59,8 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="lumenquarry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts lineage in a way that survives lost executors, and gives Catalyst the
-    true size, so that it broadcasts the table in a join only where it is small.
-    The folder goes when the process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _drop() -> None:
-    for spark, path in _STAGED:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may be gone by now
-            return
+def integral(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.IntegralType)
 
 
 def unit(key: Column) -> Column:

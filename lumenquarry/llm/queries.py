@@ -10,7 +10,8 @@ from .common import table
 
 
 def op1_simhash(spark, sf_dir):
-    return simhash.members(table(spark, sf_dir, "documents"))
+    """Every document with its class, that of its near copies, and the documents of the class."""
+    return simhash.classes(table(spark, sf_dir, "documents"))
 
 
 def _voices(texts: pd.Series) -> pd.Series:
