@@ -22,7 +22,9 @@ Defined cases: NULL, empty and short texts (under 50 words) have no repeats; row
 NULL doc_id are left out; a repeat within one document alone is none, also if the document
 stands in several rows (rows of one doc_id are one document: equal rows give their spans once,
 and different texts give the spans of each); overlapping or touching repeats are one span,
-even if they are shared with different documents; an empty table gives an empty one; other
+even if they are shared with different documents; all documents that tie, as they share a
+passage, have it; a very long text is one slice and needs memory in proportion to its length (some 60 bytes for each
+of its own); doc_id may be of any type (64-bit hashes stand for ids that aren't whole numbers); an empty table gives an empty one; other
 columns don't matter.
 """
 
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import col, prepare, staged
+from .common import col, integral, prepare, staged
 from .textops import RUN, U, hashes, mix, slices, tokens, windows
 
 BLOCK, LENGTH = 25, 50
@@ -149,6 +151,10 @@ def _spans(places: pd.Series) -> pd.Series:
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", max_cells: int = MAX_CELLS, rounds: int | None = None) -> DataFrame:
     """(doc_id, start_word, end_word): the spans of words (from 0, end excluded) that occur in other documents too."""
     prepare(docs.sparkSession)
+    if not integral(docs, key):  # other ids are hashed, and looked up for what is found
+        ids = docs.select(F.xxhash64(col(key)).alias("hashed"), col(key).alias("doc_id")).where("doc_id is not null").distinct()
+        found = repeats(docs.select(F.when(col(key).isNotNull(), F.xxhash64(col(key))).alias("hashed"), col(text).alias("text")), "text", "hashed", max_cells, rounds)
+        return found.withColumnRenamed("doc_id", "hashed").join(ids, "hashed").select("doc_id", "start_word", "end_word")
     own = docs.select(col(text).alias("text"), col(key).cast("bigint").alias("doc_id")).where("text is not null and doc_id is not null")
     n = own.select((F.length("text") / 50 + 1).cast("bigint").alias("n")).agg(F.sum("n")).first()[0] or 0  # about the blocks, or more
     rounds = rounds or max(1, -(-n * bloom.CELLS_PER_KEY // (2 * max_cells)))
