@@ -43,6 +43,28 @@ def test_exact_dedup_with_a_full_filter(spark):
     assert full[0] == 1000 and len(full) == 2001
 
 
+def test_repeated_hashes_are_all_found(spark):
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(2**62), 2**62, 30_000)
+    rows = np.concatenate([h, h[:500], h[:100], np.repeat(h[0], 9_000)])
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(x),) for x in rows], "h long").repartition(5)
+    for part in (4_000_000, 5_000):
+        found = {r["h"] for r in bloom.again(df, rows.size, part).collect()}
+        assert found >= set(h[:500].tolist()) and len(found) < 500 + 600
+    assert bloom.again(df.limit(0), 0).count() == 0
+
+
+def test_broadcast_filter(spark):
+    df = spark.range(5000).select((F.col("id") * 7919).alias("h"))
+    bits = bloom.containing(df, 5000).value
+    assert bloom.has(bits, (np.arange(5000) * 7919).astype(np.uint64)).all()
+    assert bloom.has(bits, (np.arange(5000) * 7919 + 1).astype(np.uint64)).mean() < 0.01
+    # a filter of too few bits lets more pass and loses none
+    small = bloom.containing(df, 5000, 1 << 20).value
+    assert bloom.has(small, (np.arange(5000) * 7919).astype(np.uint64)).all()
+
+
 def test_bloom_finds_all_repeats():
     h = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
     size = bloom.size_for(h.size)
@@ -91,11 +113,75 @@ def test_embed_and_cells_are_the_same_in_both_engines(spark):
     assert pdf["f0"][0] == pdf["f0"][3]  # case and punctuation don't count
 
 
+def grouped(rows):
+    """Groups of more than one document, from rows (doc_id, class_id, n_class)."""
+    by = defaultdict(set)
+    for r in rows:
+        by[r["class_id"]].add(r["doc_id"])
+    assert all(min(g) == c for c, g in by.items()) and all(r["n_class"] == len(by[r["class_id"]]) for r in rows)
+    return [g for g in by.values() if len(g) > 1]
+
+
 def test_groups_of_planted_copies(spark):
     rows, groups = planted(seed=5, n=60, copies=20)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    found = [set(r["members"]) for r in simhash.members(df).collect() if len(r["members"]) > 1]
+    got = simhash.classes(df).collect()
+    assert len(got) == len(rows)
+    found = grouped(got)
     assert sum(g in found for g in groups) >= 18 and all(g in groups for g in found)
+    text_ids = df.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    assert sorted(sorted(g) for g in grouped(simhash.classes(text_ids).collect())) == sorted(sorted(f"d{x:05d}" for x in g) for g in found)
+    assert simhash.near_dedup(text_ids).count() == len(rows) - sum(len(g) - 1 for g in found)
+
+
+def parts_of(n, a, b):
+    label = list(range(n))
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+    for i, j in zip(a.tolist(), b.tolist()):
+        i, j = top(i), top(j)
+        label[max(i, j)] = min(i, j)
+    return [top(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("spread", [4, 12, 20, 26])
+def test_stars_connect_what_all_pairs_connect(spread):
+    """Cells with large groups of near copies, chains and strangers."""
+    rng = np.random.default_rng(spread)
+    seeds = rng.integers(0, 2**63, (6, 4)).astype(np.uint64)
+    f = seeds[rng.integers(0, 6, 900)].copy()
+    for row in f:
+        for bit in rng.integers(0, 256, rng.integers(0, 2 * spread)):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    f = np.unique(np.concatenate([f, rng.integers(0, 2**63, (50, 4)).astype(np.uint64)]), axis=0)
+    d = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2)
+    a, b = np.nonzero(np.triu(d <= simhash.MAX_BITS, 1))
+    i, j = simhash._stars(f, simhash.MAX_BITS)
+    assert (np.bitwise_count(f[i] ^ f[j]).sum(axis=1) <= simhash.MAX_BITS).all()
+    assert parts_of(len(f), i, j) == parts_of(len(f), a, b)
+
+
+def test_large_cells_give_the_same_groups(spark, monkeypatch):
+    rows, _ = planted(seed=9, n=30, copies=30)
+    df = spark.createDataFrame([*rows, *[(1000 + i, rows[0][1] + " " + " ".join(["more", "words", str(i)]), "en", "s", 0) for i in range(150)]], "doc_id long, text string, lang string, source string, n_chars long")
+    reps = simhash.fingerprints(df).dropDuplicates(simhash.WORDS)
+    groups = []
+    for small in (64, 10**9):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        edges = simhash.near_pairs(reps, forest=True)
+        groups.append(sorted((r["node"], r["root"]) for r in simhash.components(edges.select("a", "b")).collect()))
+    assert groups[0] == groups[1] and len(groups[0]) >= 150
+
+
+def test_recall_has_the_bound_that_is_stated():
+    assert [round(1 - simhash.recall(s), 3) for s in (20, 22, 24, 31, 36, 44)] == [0.001, 0.003, 0.01, 0.135, 0.342, 0.692]
+    rng, seed = np.random.default_rng(3), np.random.Generator(np.random.PCG64(simhash.SEED))
+    grids = [set(seed.choice(128, simhash.AXES, replace=False).tolist()) for _ in range(simhash.GRIDS)]
+    for s in (24, 36):
+        differ = [set(rng.choice(128, s, replace=False).tolist()) for _ in range(2000)]
+        assert abs(np.mean([any(not g & x for g in grids) for x in differ]) - simhash.recall(s)) < 0.05
 
 
 def test_near_dedup_of_awkward_rows(spark):
@@ -104,7 +190,7 @@ def test_near_dedup_of_awkward_rows(spark):
     assert out.columns == df.columns
     ids = Counter(r["doc_id"] for r in out.collect())
     assert ids == Counter([1, 2, 5, 6, 7, None, None, 10, 11])
-    assert simhash.near_dedup(empty(df)).count() == 0 and simhash.members(empty(df)).count() == 0
+    assert simhash.near_dedup(empty(df)).count() == 0 and simhash.classes(empty(df)).count() == 0
 
 
 def test_components_of_a_chain(spark):
@@ -128,6 +214,12 @@ def test_sharding_is_fair_and_moves_little(spark):
     assert all(r["b"] == "more" for r in moved) and 0.02 < len(moved) / 20_000 < 0.06
 
 
+def test_equal_scores_go_to_the_first_shard(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "unit", lambda key: F.lit(0.5) + F.length(key) * 0)
+    got = spark.range(3).select(sharding.shard_of(["id"], {"b": 1.0, "a": 1.0, "c": 1.0}).alias("s")).collect()
+    assert {r["s"] for r in got} == {"b"}
+
+
 def test_sharding_of_awkward_rows(spark):
     df = awkward(spark)
     rows = sharding.assign_shards(df).collect()
@@ -183,6 +275,13 @@ def test_repeats_against_brute_force(spark, rounds, held, monkeypatch):
     assert got == brute_spans(rows) and len(got) > 20
 
 
+def test_repeats_with_ids_of_any_type(spark):
+    rng = random.Random(11)
+    shared = words(rng, 70)
+    df = spark.createDataFrame([("a", words(rng, 30) + " " + shared), ("b", shared), ("c", words(rng, 90)), (None, shared)], "doc_id string, text string")
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in substring.repeats(df).collect()} == {("a", 30, 100), ("b", 0, 70)}
+
+
 def test_repeats_of_awkward_rows(spark):
     df = awkward(spark)
     assert substring.repeats(df).count() == 0 and substring.repeats(empty(df)).count() == 0
@@ -200,6 +299,16 @@ def test_mixing_counts(spark):
     assert {r["source"] for r in mixing.mix(df, {"big": 1}).select("source").distinct().collect()} == {"big"}
 
 
+def test_small_rates_arent_rounded_to_nothing(spark):
+    df = spark.createDataFrame([(i, "w w", "big") for i in range(2000)] + [(-1, "w", "tiny")], "doc_id long, text string, source string")
+    rates = {r["source"]: r["rate"] for r in mixing.rates(df, {"big": 1e-8, "tiny": 1.0}).collect()}
+    assert rates["big"] == pytest.approx(4001 * 1e-8 / (1 + 1e-8) / 4000) and rates["big"] > 0
+    with pytest.raises(ValueError, match="source"):
+        mixing.mix(df, rate="Source")
+    with pytest.raises(ValueError):
+        mixing.mix(df, copy="n", rate="N")
+
+
 def test_mixing_of_awkward_rows(spark):
     df = awkward(spark)
     out = mixing.mix(df)

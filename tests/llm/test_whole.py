@@ -1,5 +1,6 @@
 """The operators do the whole job: no caps on variety, fitted scores, checks in the pipeline."""
 
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -56,23 +57,49 @@ def test_copies_have_ids_of_their_own(spark):
 
 
 def test_scores_are_log_probabilities_of_all_documents(spark, v):
+    """The first scores from the file's own segmentation of whole texts, then EM by plain counting."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    u = tokencount.fit(docs)
-    assert np.exp(u.score[u.piece_id]).sum() == pytest.approx(1)
-    own = np.zeros(v.size, np.int64)
     texts = [r["text"] or "" for r in docs.collect()]
+    own, words = np.zeros(v.size, np.int64), Counter()
     for i, j, data, off in slices(pa.array(texts)):
         ids, _ = pieces.encode_slice(v, data, off, np.arange(i, j).astype(np.uint64), 5, 0.0)
         own += np.bincount(ids, minlength=v.size)
-    assert {r["piece"]: r["n"] for r in tokencount.piece_counts(docs).collect()} == {i: int(own[i]) for i in np.flatnonzero(own)}
+        t = vocabulary.split(data, off)
+        at = t.char_at[t.first_char]
+        words.update(bytes(t.data[a:b]) for a, b in zip(at.tolist(), at[1:].tolist()))
+    got = tokencount.pre_tokens(docs).collect()
+    assert {bytes(r["word"]): r["n"] for r in got} == words
+    table = tokencount.pre_tokens(docs)
+    assert (tokencount.piece_counts(table, v, merges=True) == own).all()
+    first = tokencount.with_scores(v, own)
     of = own[v.piece_id] + tokencount.SMOOTHING
-    assert u.score[v.piece_id] == pytest.approx(np.log(of / of.sum()))
+    assert first.score[v.piece_id] == pytest.approx(np.log(of / of.sum()))
+    again = np.zeros(v.size, np.int64)
+    for w, n in words.items():
+        t = vocabulary.whole(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+        again += tokencount.counts(first, t, np.arange(1), np.array([n]))
+    second = tokencount.fit(docs, rounds=1)
+    assert second.score == pytest.approx(tokencount.with_scores(v, again).score)
+    assert np.exp(tokencount.fit(docs).score[v.piece_id]).sum() == pytest.approx(1)
+
+
+def test_em_raises_the_likelihood(spark, v):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    table = tokencount.pre_tokens(docs).collect()
+    texts = [bytes(r["word"]) for r in table]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts]))
+    t, n = vocabulary.whole(data, off), np.array([r["n"] for r in table])
+    likelihood = []
+    for rounds in (0, 1, 2):
+        u = tokencount.fit(docs, rounds=rounds)
+        met = tokencount.counts(u, t, np.arange(n.size), n)
+        likelihood.append(float((met * u.score).sum()))
+    assert likelihood[0] < likelihood[1] < likelihood[2]
 
 
 def test_frequent_words_stay_whole(spark, v):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    common = "the government"
-    more = spark.createDataFrame([(-1, common)], "doc_id long, text string")
+    more = spark.createDataFrame([(-1, "the of")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_count(docs.unionByName(more)).collect()}
     assert got[-1] == 2
     own = 0
