@@ -6,12 +6,16 @@ dynamic allocation take this place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def token_bucket(steps: Column, capacity: float, rate: float, partial: bool = False) -> Column:
-    """Grants of a bucket over ``steps`` (ARRAY<STRUCT<dt, want>>): all or nothing, or as many whole tokens as there are."""
+    """Grants of a bucket over ``steps`` (ARRAY<STRUCT<dt, want>>): all or nothing, or as many whole tokens as there are. For short sequences in a row; ``granted`` takes any."""
     rate = max(0.1, rate)
     start = F.struct(F.lit(float(capacity)).alias("tokens"), F.array().cast("array<bigint>").alias("granted"))
 
@@ -25,6 +29,31 @@ def token_bucket(steps: Column, capacity: float, rate: float, partial: bool = Fa
     return F.aggregate(steps, start, step, lambda s: s["granted"])
 
 
+def granted(requests: DataFrame, key: str, order: list[str], at: str, want: str, capacity: float, rate: float) -> DataFrame:
+    """``requests`` with granted and granted_part: what a bucket of each key gives, all or nothing and in part.
+
+    ``at`` is in seconds. One shuffle on the key; sorted rows stream through with nothing but
+    the state of the present key, so a key may have any number of them.
+    """
+    rate = max(0.1, rate)
+    fields = requests.schema.simpleString().removeprefix("struct<").removesuffix(">")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, whole, part = object(), 0.0, 0.0, 0.0
+        for pdf in batches:
+            out: list[tuple[int, int]] = []
+            for k, t, n in zip(pdf[key], pdf[at], pdf[want]):
+                if k != now:
+                    now, last, whole, part = k, t, float(capacity), float(capacity)
+                whole, part, last = min(capacity, whole + (t - last) * rate), min(capacity, part + (t - last) * rate), t
+                a, b = n if whole >= n else 0, min(math.floor(part), n)
+                whole, part = whole - a, part - b
+                out.append((a, b))
+            yield pdf.assign(granted=[a for a, _ in out], granted_part=[b for _, b in out])
+
+    return requests.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{fields}, granted long, granted_part long")
+
+
 def adapt(data_rate: Column, lit_rate: Column, seen_data: Column, seen_lit: Column) -> Column:
     """The next rates of both workers: the faster one slows down and the other follows; both speed up while both work."""
     ahead, behind = seen_data > 1.3 * seen_lit, seen_lit > 1.3 * seen_data

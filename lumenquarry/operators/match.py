@@ -48,24 +48,23 @@ def fold(messages: DataFrame, key: str = "topic") -> DataFrame:
     """Consume-once matches of messages (key, seq, side 'data' or 'lit', score) in the order of seq.
 
     Each key holds one pending score a side at most, the later in the earlier's place; when
-    both are there, they are a match and both go. One shuffle on the key; the fold runs on
-    the key's sorted messages.
+    both are there, they are a match and both go. So a match can only be at the first message of
+    a run of one side, with the message before, and is there if something was left pending:
+    always after a run of two or more, and after a run of one if that was no match itself.
+    Windows say so without a fold: one shuffle on the key, no key's messages in one row.
     """
-    one = F.struct("seq", "side", "score")
-    kind = messages.schema["score"].dataType.simpleString()
-    seq = messages.schema["seq"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(kind).alias("d"), F.lit(None).cast(kind).alias("l"), F.array().cast(f"array<struct<seq:{seq},d:{kind},l:{kind}>>").alias("out"))
-
-    def step(s: Column, m: Column) -> Column:
-        d = F.when(m["side"] == "data", m["score"]).otherwise(s["d"])
-        lit = F.when(m["side"] == "lit", m["score"]).otherwise(s["l"])
-        full = d.isNotNull() & lit.isNotNull()
-        found = F.concat(s["out"], F.array(F.struct(m["seq"].alias("seq"), d.alias("d"), lit.alias("l"))))
-        return F.struct(F.when(~full, d).alias("d"), F.when(~full, lit).alias("l"), F.when(full, found).otherwise(s["out"]).alias("out"))
-
+    by = Window.partitionBy(key).orderBy("seq")
     known = messages.where(F.col("side").isin("data", "lit") & F.col("score").isNotNull())
-    per = known.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(one)), start, step)["out"].alias("out"))
-    return per.select(key, F.posexplode("out").alias("n", "m")).select(key, F.col("n").cast("bigint").alias("n"), F.col("m.seq").alias("seq"), F.col("m.d").alias("feasibility"), F.col("m.l").alias("significance"), S.combined(F.col("m.d"), F.col("m.l")).alias("combined"))
+    df = known.withColumns({"was": F.lag("side").over(by), "last": F.lag("score").over(by), "place": F.row_number().over(by)})
+    runs = df.where(F.col("was").isNull() | (F.col("was") != F.col("side")))  # the first of each run
+    long = F.col("place") - F.lag("place").over(by) > 1  # the run before
+    runs = runs.withColumns({"nth": F.row_number().over(by), "long": F.coalesce(long, F.lit(False))})
+    # since the first run, after which something is pending, or since a run after a long one, runs of one take turns
+    since = F.max(F.struct(F.when(F.col("long") | (F.col("nth") == 1), F.col("nth")).alias("nth"), F.col("long").alias("long"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    matched = runs.withColumn("since", since).where((F.col("nth") - F.col("since.nth")) % 2 == F.when(F.col("since.long"), 0).otherwise(1))
+    first = lambda side: F.when(F.col("side") == side, F.col("score")).otherwise(F.col("last"))
+    out = matched.withColumns({"d": first("data"), "l": first("lit"), "n": F.row_number().over(by).cast("bigint") - 1})
+    return out.select(key, "n", "seq", F.col("d").alias("feasibility"), F.col("l").alias("significance"), S.combined(F.col("d"), F.col("l")).alias("combined"))
 
 
 def sliding_rate(events: DataFrame, ts: str = "ts", window: str = "10 seconds", slide: str = "2 seconds", seconds: int = 10) -> DataFrame:

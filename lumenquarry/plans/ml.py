@@ -20,11 +20,19 @@ def with_features(df: DataFrame, sentence: str = "sentence", embedding: str | No
 
 
 def stratified_split(df: DataFrame, share: float = 0.2, seed: int = 42, key: str = "doc_id", label: str = "label") -> DataFrame:
-    """``df`` with ``is_test``: of each label the rows of the least hashes, the share rounded to whole rows."""
-    by = Window.partitionBy(label)
+    """``df`` with ``is_test``: of each label the rows of the least hashes, the share rounded to whole rows.
+
+    Rows are numbered within 4096 ranges of hashes for each label, and the ranges' counts say
+    how many come before, so no label is one task.
+    """
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
-    nth = F.row_number().over(by.orderBy(h, key))
-    return df.withColumn("is_test", nth <= F.floor(F.count("*").over(by) * share + 0.5))
+    placed = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3))
+    per = placed.groupBy(F.col(label).alias("_label"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_label").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).withColumn("_most", F.floor(F.sum("_n").over(Window.partitionBy("_label")) * share + 0.5))
+    nth = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h", key))
+    placed = placed.withColumn("_nth", nth).join(per, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range").eqNullSafe(F.col("_of"))))
+    return placed.withColumn("is_test", F.col("_before") + F.col("_nth") <= F.col("_most")).select(*df.columns, "is_test")
 
 
 def report(df: DataFrame, label: str = "label", prediction: str = "prediction", score: str = "score") -> DataFrame:

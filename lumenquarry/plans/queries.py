@@ -276,14 +276,8 @@ def labeled_examples(spark, sf_dir):
 
 def token_bucket(spark, sf_dir):
     """Grants of a bucket to each user's events, by the seconds between them."""
-    e = table(spark, sf_dir, "events")
-    one = F.struct("ts", "event_id")
-    per = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
-    times = F.transform(F.col("e"), lambda x: F.unix_micros(x["ts"].cast("timestamp")) / 1e6)
-    waits = F.transform(times, lambda t, i: F.struct(F.when(i == 0, 0.0).otherwise(t - F.get(times, i - 1)).alias("dt"), F.lit(7).alias("want")))
-    per = per.select("user_id", control.token_bucket(waits, 10, 0.0, False).alias("whole"), control.token_bucket(waits, 10, 0.0, True).alias("part"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return per.select("user_id", total("whole").alias("granted"), total("part").alias("granted_part"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.lit(7).alias("want"))
+    return control.granted(e, "user_id", ["ts", "event_id"], "at", "want", 10, 0.0).groupBy("user_id").agg(F.sum("granted").alias("granted"), F.sum("granted_part").alias("granted_part"))
 
 
 def rate_controller(spark, sf_dir):

@@ -1,5 +1,7 @@
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,43 @@ def test_fold(spark, order, n):
         assert got[0]["feasibility"] == pytest.approx(0.1)
 
 
+def folded(order):
+    """(feasibility, significance) of the matches, by the rule as it is told."""
+    d = lit = None
+    out = []
+    for i, c in enumerate(order):
+        d, lit = (i, lit) if c == "d" else (d, i)
+        if d is not None and lit is not None:
+            out.append((d, lit))
+            d = lit = None
+    return out
+
+
+def test_fold_against_a_loop(spark):
+    rng = random.Random(3)
+    orders = ["".join(rng.choice("dl") for _ in range(rng.randint(0, 25))) for _ in range(200)]
+    rows = [(str(k), i, "data" if c == "d" else "lit", float(i)) for k, o in enumerate(orders) for i, c in enumerate(o)]
+    got = {}
+    for r in match.fold(spark.createDataFrame(rows, "topic string, seq long, side string, score double")).orderBy("topic", "n").collect():
+        got.setdefault(r["topic"], []).append((r["feasibility"], r["significance"]))
+    assert got == {str(k): folded(o) for k, o in enumerate(orders) if folded(o)}
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 5))
+    v[7] = v[3]
+    df = spark.createDataFrame([(i % 2, i, x.tolist()) for i, x in enumerate(v)] + [(2, 100, [1.0] * 5), (2, 101, None)], "g int, id long, v array<double>")
+    plain = lambda rows: sorted((r["g"], r["id"], r["rank"], r["neighbour"], round(r["cosine"], 9)) for r in rows)
+    pairs = lambda rows: sorted((r["g"], r["a"], r["b"], round(r["cosine"], 9)) for r in rows)
+    whole, close = plain(vectors.nearest(df, "g", "id", "v", 3).collect()), pairs(vectors.pairs_over(df, "g", "id", "v", 0.5).collect())
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    assert plain(vectors.nearest(df, "g", "id", "v", 3).collect()) == whole and pairs(vectors.pairs_over(df, "g", "id", "v", 0.5).collect()) == close
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(i % 2, i, n + 1, j, round(float(u[i] @ u[j]), 9)) for i in range(90) for n, j in enumerate(sorted((j for j in range(i % 2, 90, 2) if j != i), key=lambda j: (-round(float(u[i] @ u[j]), 12), j))[:3])]
+    assert whole == sorted(want) and len(close) > 50
+
+
 def test_stub_records(spark):
     t = spark.createDataFrame([(x,) for x in match.TOPICS], "topic string")
     got = match.match_topics(match.stub_data(t), match.stub_literature(t)).collect()
