@@ -8,10 +8,13 @@ may. A repeat of 2 * BLOCK - 1 words or more holds a whole block of each of its
 so each of its occurrences has a hit.
 
 Hits are extended to all windows of ``LENGTH`` = 50 words around them. These are hashed to
-96 bits and shuffled, and those that occur in two documents or more are exact repeats; this
-compares an occurrence with all others of the passage at once, so a passage that thousands
-of documents share costs no pairs. Neighbouring ones join to maximal spans. What the Bloom
-filter lets pass wrongly costs rows, but no result.
+96 bits, and those that occur in two documents or more are exact repeats; this compares an
+occurrence with all others of the passage at once, so a passage that thousands of documents
+share costs no pairs. Windows that two documents of one task share are settled there: their
+places stay, as spans, and one row alone tells the other tasks of the window. So a hot
+passage is a row a task and window in the shuffle, not a row a document; what is shuffled
+else are the windows that only one document of a task has. Neighbouring windows join to
+maximal spans. What the Bloom filter lets pass wrongly costs rows, but no result.
 
 The index takes 16 bits a block, up to ``max_cells`` bits for a filter. For a larger corpus
 there are several filters, each for one range of hashes; the block hashes are written once to
@@ -44,8 +47,11 @@ from .textops import RUN, U, hashes, mix, slices, tokens, windows
 
 BLOCK, LENGTH = 25, 50
 MAX_CELLS = 1 << 28
-#: Pairs of filters that a task holds at once, 64 MiB each at most.
-HELD = 4
+#: Pairs of filters that a task holds at once, 64 MiB each at most. Windows that it holds before it settles what it can.
+HELD, SETTLED = 4, 1 << 20
+#: Kinds of rows in the shuffle: a window at one place, one that is known to be shared, settled places, a window at several places.
+ONCE, SHARED, PLACES, OFTEN = range(4)
+ROW = "h long, doc_id long, rest long, kind int, places array<int>"
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +97,58 @@ def _hits(w: np.ndarray, same: np.ndarray, at: np.ndarray, filters, rounds: int)
     return np.concatenate(out)
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(keys[0].size, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys]) if keys[0].size else False
+    return np.flatnonzero(new)
+
+
+def _spanned(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(group, places of each): first and last place of every run of windows that touch, on end; both are sorted."""
+    new = np.ones(at.size, bool)
+    new[1:] = (group[1:] != group[:-1]) | (at[1:] - at[:-1] > LENGTH)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], at.size) - 1
+    heads = _heads(group[first])
+    ends = np.stack([at[first], at[last]], axis=1).astype(np.int32).ravel()
+    return group[first][heads], pa.ListArray.from_arrays(pa.array((2 * np.append(heads, first.size)).astype(np.int32)), pa.array(ends))
+
+
+def _rows(h, doc, rest, kind: int, places: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(doc)
+    given = pa.nulls(n, pa.list_(pa.int32())) if places is None else places
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(rest), pa.array(np.full(n, kind, np.int32)), given], ["h", "doc_id", "rest", "kind", "places"])
+
+
+def _settle(h: np.ndarray, doc: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows for the windows (hash, document, check and place) that a task has found."""
+    order = np.lexsort((rest & U(0xFFFFFFFF), doc, rest >> U(32), h))
+    h, doc, rest = h[order], doc[order], rest[order]
+    check, at = rest >> U(32), (rest & U(0xFFFFFFFF)).astype(np.int64)
+    first = _heads(h, check)
+    size = np.diff(np.append(first, h.size))
+    shared = doc[first] != doc[first + size - 1]
+    row_shared, alone = np.repeat(shared, size), np.repeat(size == 1, size)
+    if alone.any():
+        yield _rows(h[alone], doc[alone], rest[alone].view(np.int64), ONCE)
+    if shared.any():
+        one = first[shared]
+        yield _rows(h[one], doc[one], rest[one].view(np.int64), SHARED)
+        by = np.lexsort((at[row_shared], doc[row_shared]))
+        docs, places = _spanned(doc[row_shared][by], at[row_shared][by])
+        yield _rows(mix(docs.view(U)).view(np.int64), docs, np.zeros(docs.size, np.int64), PLACES, places)
+    often = ~row_shared & ~alone
+    if often.any():
+        own = np.repeat(np.arange(first.size), size)[often]
+        groups, places = _spanned(own, at[often])
+        head = first[groups]
+        yield _rows(h[head], doc[head], rest[head].view(np.int64), OFTEN, places)
+
+
 def _extend(filters, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             ids = b.column(1).to_numpy()
             for i, _, data, off in slices(b.column(0)):
@@ -106,45 +162,63 @@ def _extend(filters, rounds: int):
                 np.add.at(near, hit + 1, -1)
                 pick = np.flatnonzero((np.cumsum(near)[: long.size] > 0) & (row[: long.size] == row[LENGTH - 1 :]))
                 if pick.size:
-                    rest = (check[pick] >> U(32) << U(32)) | at[pick].astype(U)
-                    yield pa.RecordBatch.from_arrays([pa.array(long[pick].view(np.int64)), pa.array(ids[i + row[pick]]), pa.array(rest.view(np.int64))], ["h", "doc_id", "rest"])
+                    held.append((long[pick].view(np.int64), ids[i + row[pick]], (check[pick] >> U(32) << U(32)) | at[pick].astype(U)))
+                    n += pick.size
+                if n > SETTLED:
+                    yield from _settle(*map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+        if held:
+            yield from _settle(*map(np.concatenate, zip(*held)))
 
     return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, places) of the windows of one partition of hashes that two documents have."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
+    held, lists, n = [], [], 0
+    for b in batches:
+        kind = b.column(3).to_numpy()
+        done = np.flatnonzero(kind == PLACES)
+        if done.size:
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(done)), b.column(4).take(pa.array(done))], ["doc_id", "places"])
+        rest = np.flatnonzero(kind != PLACES)
+        if rest.size:
+            held.append([b.column(i).to_numpy()[rest] for i in range(4)])
+            often = np.flatnonzero(kind[rest] == OFTEN)
+            lists.append((n + often, b.column(4).take(pa.array(rest[often]))))
+            n += rest.size
+    if not held:
         return
-    t = pa.Table.from_batches(rows)
-    h, doc, rest = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy().view(U)
-    del t, rows
-    check, at = rest >> U(32), (rest & U(0xFFFFFFFF)).astype(np.int32)
-    order = np.lexsort((doc, check, h))
-    h, check, doc, at = h[order], check[order], doc[order], at[order]
-    group = np.ones(h.size, bool)
-    group[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-    first = np.flatnonzero(group)
-    last = np.append(first[1:], h.size) - 1
-    keep = np.repeat(doc[first] != doc[last], last - first + 1)
-    doc, at = doc[keep], at[keep]
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if doc.size else np.zeros(0, np.int64)
-    for k in range(0, first.size, 20_000):
-        own = np.append(first[k : k + 20_000], first[k + 20_000] if k + 20_000 < first.size else doc.size)
-        places = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(at[own[0] : own[-1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), places], ["doc_id", "places"])
+    h, doc, rest, kind = map(np.concatenate, zip(*held))
+    rest, place = rest.view(U), np.arange(n)
+    order = np.lexsort((doc, rest >> U(32), h))
+    h, doc, rest, kind, place = h[order], doc[order], rest[order], kind[order], place[order]
+    first = _heads(h, rest >> U(32))
+    size = np.diff(np.append(first, n))
+    keep = np.repeat((doc[first] != doc[first + size - 1]) | (np.maximum.reduceat((kind == SHARED).astype(np.int8), first) > 0), size)
+    one = keep & (kind == ONCE)
+    if one.any():
+        docs, at = doc[one], (rest[one] & U(0xFFFFFFFF)).astype(np.int64)
+        by = np.lexsort((at, docs))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, _spanned(docs[by], at[by]))], ["doc_id", "places"])
+    several = np.zeros(n, bool)
+    several[place[keep & (kind == OFTEN)]] = True
+    ids = np.empty(n, np.int64)
+    ids[place] = doc
+    for where, places in lists:
+        own = np.flatnonzero(several[where])
+        if own.size:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[where[own]]), places.take(pa.array(own))], ["doc_id", "places"])
 
 
 def _spans(places: pd.Series) -> pd.Series:
     out = []
     for parts in places:
-        at = np.unique(np.concatenate([np.asarray(p) for p in parts]))
-        cut = np.flatnonzero(np.diff(at) > LENGTH) + 1
-        first, last = at[np.append(0, cut)], at[np.append(cut - 1, at.size - 1)]
-        out.append([{"start_word": int(a), "end_word": int(b) + LENGTH} for a, b in zip(first, last)])
+        ends = np.concatenate([np.asarray(p) for p in parts]).reshape(-1, 2)
+        ends = ends[np.argsort(ends[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(ends[:, 1])
+        cut = np.flatnonzero(ends[1:, 0] - reach[:-1] > LENGTH) + 1
+        out.append([{"start_word": int(a), "end_word": int(b) + LENGTH} for a, b in zip(ends[np.append(0, cut), 0], reach[np.append(cut - 1, len(ends) - 1)])])
     return pd.Series(out)
 
 
@@ -164,7 +238,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", max_cells:
     found = None
     for first in range(0, rounds, HELD):
         filters = {r: tuple(bloom.both(hashes_of if rounds == 1 else hashes_of.mapInArrow(_of_turn(rounds, r), "h long"), n // rounds, max_cells)) for r in range(first, min(rounds, first + HELD))}
-        part = own.mapInArrow(_extend(filters, rounds), "h long, doc_id long, rest long")
+        part = own.mapInArrow(_extend(filters, rounds), ROW)
         found = part if found is None else found.union(part)
     found = found.repartition("h").mapInArrow(_confirm, "doc_id long, places array<int>")
     spans = F.pandas_udf(_spans, "array<struct<start_word:int,end_word:int>>")
