@@ -257,9 +257,10 @@ def brute_spans(rows):
     return out
 
 
-@pytest.mark.parametrize(("rounds", "held"), [(None, 4), (3, 4), (5, 2)])
-def test_repeats_against_brute_force(spark, rounds, held, monkeypatch):
+@pytest.mark.parametrize(("rounds", "held", "settled"), [(None, 4, 1 << 20), (3, 4, 1 << 20), (5, 2, 100)])
+def test_repeats_against_brute_force(spark, rounds, held, settled, monkeypatch):
     monkeypatch.setattr(substring, "HELD", held)
+    monkeypatch.setattr(substring, "SETTLED", settled)
     rng = random.Random(7)
     shared = [words(rng, n).split() for n in (49, 50, 51, 75, 200)]
     rows = []
@@ -269,8 +270,8 @@ def test_repeats_against_brute_force(spark, rounds, held, monkeypatch):
             at = rng.randint(0, len(w))
             w[at:at] = s
         rows.append((i, " ".join(w)))
-    rows += [(100, "again " * 200), (101, "alone " * 300), (102, "again " * 60), (103, None), (None, rows[0][1]), (0, rows[0][1]), (104, ""), (5, "a different text of document five")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(100, "again " * 200), (101, "alone " * 300), (102, "again " * 60), (103, None), (None, rows[0][1]), (0, rows[0][1]), (104, ""), (5, "a different text of document five"), (200, "round and " * 90), (201, words(rng, 20) + " " + "round and " * 60), (202, ("lone and " * 70 + words(rng, 60) + " ") * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in substring.repeats(df, rounds=rounds).collect()}
     assert got == brute_spans(rows) and len(got) > 20
 
