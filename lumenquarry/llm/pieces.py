@@ -20,7 +20,8 @@ Long pre-tokens (over ``LONG`` characters) go through the agenda as a heap, each
 One narrow pass, no shuffle.
 
 Defined cases: NULL and empty texts have no ids and decode to the empty text; a NULL doc_id
-is hashed as 0, and so is one that isn't an integer by its string; repeated rows have equal ids without ``copy``; an empty
+is hashed as 0, one that isn't a whole number by a 64-bit hash; merges that tie in rank go from the left; a very long
+text is one slice and needs memory in proportion to its length (some 200 bytes for each of its own); repeated rows have equal ids without ``copy``; an empty
 table gives an empty one; columns of ``docs`` pass through, and a name that is taken is refused.
 """
 
@@ -287,10 +288,10 @@ class Segmenter:
         return out, n
 
 
-def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, seed: int, dropout: float, variants: int | None = None, by: Segmenter | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, seed: int, dropout: float, by: Segmenter | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, their number) for each text; ``doc`` are 64-bit keys of the texts.
 
-    ``by`` keeps what it knows for the next slice. ``variants`` is what older callers pass; it bounds nothing any more.
+    ``by`` keeps what it knows for the next slice.
     """
     t = vocabulary.split(data, offsets)
     rows = offsets.size - 1

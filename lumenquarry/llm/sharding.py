@@ -7,7 +7,7 @@ that is removed are all that move. One narrow projection in generated code, no s
 
 Defined cases: a NULL in a key column counts as the value ``\\N``, so such records are
 assigned too; equal keys (repeated rows) go to one shard; a tie of scores goes to the
-shard listed first; an empty table gives an empty one; a weight of 0 gets no records;
+shard listed first; texts don't matter, keys may be of any type and length; an empty table gives an empty one; a weight of 0 gets no records;
 other columns pass through, and the new column must not be one of them.
 """
 

@@ -33,10 +33,10 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
 
 
-def encoded(v, texts, dropout, seed=5, variants=8):
+def encoded(v, texts, dropout, seed=5):
     out = []
     for i, j, data, off in slices(pa.array(texts), 1 << 20):
-        ids, n = pieces.encode_slice(v, data, off, np.arange(i, j).astype(np.uint64), seed, dropout, variants)
+        ids, n = pieces.encode_slice(v, data, off, np.arange(i, j).astype(np.uint64), seed, dropout)
         back, m = pieces.decode_slice(v, ids, n)
         assert np.array_equal(back, data) and np.array_equal(m, np.diff(off))
         end = np.cumsum(n)
