@@ -54,6 +54,26 @@ def granted(requests: DataFrame, key: str, order: list[str], at: str, want: str,
     return requests.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{fields}, granted long, granted_part long")
 
 
+def settings(quota: dict[str, float]) -> dict[str, str]:
+    """A worker's quota as Spark's own options: what a batch may hold, cores and the share of a GPU for each task.
+
+    max_batch -> records of an Arrow batch, and files of a micro-batch; token_rate -> rows a
+    second of a rate source; threads -> cores of a task; cores -> executors' cores that a job may take; gpu_frac -> GPU of a task.
+    """
+    names = {
+        "max_batch": ("spark.sql.execution.arrow.maxRecordsPerBatch", "maxFilesPerTrigger"),
+        "token_rate": ("rowsPerSecond",),
+        "threads": ("spark.task.cpus",),
+        "cores": ("spark.cores.max",),
+        "gpu_frac": ("spark.task.resource.gpu.amount",),
+    }
+    unknown = set(quota) - set(names)
+    if unknown or any(v <= 0 for v in quota.values()):
+        raise ValueError(f"give positive quotas of {sorted(names)}")
+    whole = lambda k, v: f"{v:g}" if k == "gpu_frac" else str(max(1, math.floor(v)))
+    return {name: whole(k, v) for k, v in quota.items() for name in names[k]}
+
+
 def adapt(data_rate: Column, lit_rate: Column, seen_data: Column, seen_lit: Column) -> Column:
     """The next rates of both workers: the faster one slows down and the other follows; both speed up while both work."""
     ahead, behind = seen_data > 1.3 * seen_lit, seen_lit > 1.3 * seen_data

@@ -165,6 +165,26 @@ def test_wire(spark):
     assert [(r["topic"], r["side"], r["score"]) for r in got] == [("t", "data", 0.5)]
 
 
+def test_quotas_are_settings():
+    got = control.settings({"max_batch": 32, "token_rate": 0.5, "gpu_frac": 0.25})
+    assert got == {"spark.sql.execution.arrow.maxRecordsPerBatch": "32", "maxFilesPerTrigger": "32", "rowsPerSecond": "1", "spark.task.resource.gpu.amount": "0.25"}
+    with pytest.raises(ValueError, match="max_batch"):
+        control.settings({"other": 1})
+
+
+def test_buckets_stream_over_batches(spark):
+    rows = [(k, float(t), 3) for k in ("a", "b") for t in range(50)]
+    df = spark.createDataFrame(rows, "k string, at double, want int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = control.granted(df, "k", ["at"], "at", "want", 4, 1.0).groupBy("k").agg(F.sum("granted").alias("g"), F.sum("granted_part").alias("p")).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    steps_ = spark.createDataFrame([([(0.0, 3)] + [(1.0, 3)] * 49,)], "s array<struct<dt:double,want:int>>")
+    for name, partial in (("g", False), ("p", True)):
+        want = sum(steps_.select(control.token_bucket(F.col("s"), 4, 1.0, partial).alias("x")).first()["x"])
+        assert [r[name] for r in got] == [want, want]
+
+
 def test_buckets_and_rates(spark):
     s = spark.createDataFrame([([(0.0, 3), (0.0, 3), (10.0, 3)],)], "s array<struct<dt:double,want:int>>")
     assert s.select(control.token_bucket(F.col("s"), 4, 1.0).alias("x")).first()["x"] == [3, 0, 3]
