@@ -256,8 +256,12 @@ def audio_tensors(df: DataFrame, audio: str = "audio", out: str = "tensors", cou
 
     @F.pandas_udf("n int, x binary")
     def pack(s: pd.Series) -> pd.DataFrame:
-        rows = [list(features(data)) for data in s]
-        return pd.DataFrame({"n": np.array([len(r) for r in rows], np.int32), "x": [packed(r) if r else None for r in rows]})
+        n, x = [], []
+        for data in s:  # one recording's features at a time
+            rows = list(features(data))
+            n.append(len(rows))
+            x.append(packed(rows) if rows else None)
+        return pd.DataFrame({"n": np.array(n, np.int32), "x": x})
 
     (at,) = fresh(df, "packed")
     return df.withColumn(at, pack(col(audio))).select(*[col(c) for c in df.columns if c != audio], F.col(at)["n"].alias(count), F.col(at)["x"].alias(out))

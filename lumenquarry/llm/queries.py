@@ -15,7 +15,7 @@ def op1_simhash(spark, sf_dir):
 
 
 def _voices(texts: pd.Series) -> pd.Series:
-    return texts.map(audio.voiced)
+    return texts.map(audio.voiced)  # NULL stays NULL
 
 
 def op2_audio(spark, sf_dir):

@@ -105,9 +105,9 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 
 
 def _spanned(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """(group, places of each): first and last place of every run of windows that touch, on end; both are sorted."""
+    """(group, places of each): first and last place of every run of windows that touch, on end; a group's rows stand together."""
     new = np.ones(at.size, bool)
-    new[1:] = (group[1:] != group[:-1]) | (at[1:] - at[:-1] > LENGTH)
+    new[1:] = (group[1:] != group[:-1]) | (at[1:] - at[:-1] > LENGTH) | (at[1:] < at[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], at.size) - 1
     heads = _heads(group[first])
@@ -121,28 +121,40 @@ def _rows(h, doc, rest, kind: int, places: pa.Array | None = None) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(rest), pa.array(np.full(n, kind, np.int32)), given], ["h", "doc_id", "rest", "kind", "places"])
 
 
+def _grouped(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, size) of the windows that are equal; the order within them is that of the rows."""
+    order = np.argsort(h, kind="stable")
+    first = _heads(h[order], check[order])
+    if first.size > _heads(h[order]).size:  # two windows have one hash: their checks may alternate
+        order = np.lexsort((check, h))
+        first = _heads(h[order], check[order])
+    return order, first, np.diff(np.append(first, h.size))
+
+
+def _several(doc: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each group has more than one document."""
+    return np.logical_or.reduceat(doc != np.repeat(doc[first], size), first)
+
+
 def _settle(h: np.ndarray, doc: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows for the windows (hash, document, check and place) that a task has found."""
-    order = np.lexsort((rest & U(0xFFFFFFFF), doc, rest >> U(32), h))
-    h, doc, rest = h[order], doc[order], rest[order]
-    check, at = rest >> U(32), (rest & U(0xFFFFFFFF)).astype(np.int64)
-    first = _heads(h, check)
-    size = np.diff(np.append(first, h.size))
-    shared = doc[first] != doc[first + size - 1]
+    at = (rest & U(0xFFFFFFFF)).astype(np.int64)
+    order, first, size = _grouped(h, rest >> U(32))
+    shared = _several(doc[order], first, size)
     row_shared, alone = np.repeat(shared, size), np.repeat(size == 1, size)
     if alone.any():
-        yield _rows(h[alone], doc[alone], rest[alone].view(np.int64), ONCE)
+        own = order[alone]
+        yield _rows(h[own], doc[own], rest[own].view(np.int64), ONCE)
     if shared.any():
-        one = first[shared]
+        one = order[first[shared]]
         yield _rows(h[one], doc[one], rest[one].view(np.int64), SHARED)
-        by = np.lexsort((at[row_shared], doc[row_shared]))
-        docs, places = _spanned(doc[row_shared][by], at[row_shared][by])
+        own = np.sort(order[row_shared])  # as they stand in the texts
+        docs, places = _spanned(doc[own], at[own])
         yield _rows(mix(docs.view(U)).view(np.int64), docs, np.zeros(docs.size, np.int64), PLACES, places)
     often = ~row_shared & ~alone
     if often.any():
-        own = np.repeat(np.arange(first.size), size)[often]
-        groups, places = _spanned(own, at[often])
-        head = first[groups]
+        groups, places = _spanned(np.repeat(np.arange(first.size), size)[often], at[order[often]])
+        head = order[first[groups]]
         yield _rows(h[head], doc[head], rest[head].view(np.int64), OFTEN, places)
 
 
@@ -190,25 +202,20 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     h, doc, rest, kind = map(np.concatenate, zip(*held))
-    rest, place = rest.view(U), np.arange(n)
-    order = np.lexsort((doc, rest >> U(32), h))
-    h, doc, rest, kind, place = h[order], doc[order], rest[order], kind[order], place[order]
-    first = _heads(h, rest >> U(32))
-    size = np.diff(np.append(first, n))
-    keep = np.repeat((doc[first] != doc[first + size - 1]) | (np.maximum.reduceat((kind == SHARED).astype(np.int8), first) > 0), size)
-    one = keep & (kind == ONCE)
-    if one.any():
+    rest = rest.view(U)
+    order, first, size = _grouped(h, rest >> U(32))
+    known = _several(doc[order], first, size) | np.logical_or.reduceat(kind[order] == SHARED, first)
+    keep = np.zeros(n, bool)
+    keep[order] = np.repeat(known, size)
+    one = np.flatnonzero(keep & (kind == ONCE))
+    if one.size:
         docs, at = doc[one], (rest[one] & U(0xFFFFFFFF)).astype(np.int64)
         by = np.lexsort((at, docs))
         yield pa.RecordBatch.from_arrays([*map(pa.array, _spanned(docs[by], at[by]))], ["doc_id", "places"])
-    several = np.zeros(n, bool)
-    several[place[keep & (kind == OFTEN)]] = True
-    ids = np.empty(n, np.int64)
-    ids[place] = doc
     for where, places in lists:
-        own = np.flatnonzero(several[where])
+        own = np.flatnonzero(keep[where])
         if own.size:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[where[own]]), places.take(pa.array(own))], ["doc_id", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[where[own]]), places.take(pa.array(own))], ["doc_id", "places"])
 
 
 def _spans(places: pd.Series) -> pd.Series:
