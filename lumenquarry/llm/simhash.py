@@ -5,15 +5,20 @@ punctuation; each distinct word counts once). Each is embedded as the bit counts
 segments of two bits. The Manhattan distance of two such vectors is at most the Hamming
 distance of the fingerprints, so it is a lower bound that may reject a pair.
 
-Range join under the Manhattan distance: ``GRIDS`` grids of unit cells are laid over
-subspaces of ``AXES`` segments each. Every fingerprint of the table is put in its cell of
-every grid; pairs that share a cell are candidates. A candidate is dropped where the lower
-bound exceeds ``MAX_BITS`` and accepted where the exact Hamming distance doesn't. Neighbouring
-cells aren't probed: with 11 axes there would be hundreds, of which a pair within the distance
-needs few. What that misses has a bound, ``recall``: a pair that differs in s segments shares
-no cell of any grid with probability (1 - C(128 - s, 11) / C(128, 11)) ** 48, which is 0.001
-for s = 20, 0.003 for 22, 0.01 for 24, 0.13 for 31, 0.34 for 36 and 0.69 for 44, the most there can be. A pair at 22 bits
-(the median in the driver's tables) differs in 22 segments at most. Equal fingerprints are put together beforehand.
+Range join without a miss: the bits are cut into parts, and a part p has a number of bits
+t_p such that the t_p + 1 add up to ``MAX_BITS`` + 1. So fingerprints within ``MAX_BITS`` differ
+in at most t_p bits of some part. Each part has a family of masks (``families``): bit i of the part
+has a vector m(i) of t_p + 1 bits, and for each v other than 0 there is a mask of the bits with
+an odd m(i) & v. The vectors of t_p differing bits don't span the space, so for some v none of
+them is in the mask: the pair agrees on the whole mask and shares its cell. This holds for every pair,
+by proof and not by chance. A candidate is dropped where the part differs in more than t_p bits or the lower
+bound exceeds ``MAX_BITS``, and accepted where the exact Hamming distance doesn't. The number
+of parts is that of the least cost for the number of fingerprints: fewer parts have more masks
+and finer cells. Equal fingerprints are put together beforehand.
+
+A task compares two blocks of up to ``ROWS`` fingerprints (or one with itself) by some of the
+masks: it sorts the masked parts, and looks at what is equal. Every two blocks meet under every
+mask. What a task has already connected isn't compared again.
 
 Cells of up to ``SMALL`` fingerprints compare all their pairs. In larger ones, where a group
 of near copies may hold a large part of all documents, stars grow around leaders: a row within the
@@ -24,8 +29,10 @@ pairs (in the tests too), at a cost of rows times stars.
 Connected groups of accepted pairs are found by label propagation with pointer jumping over
 tables written to the shared folder. One document of each group stays: the least doc_id.
 
-Shuffled are GRIDS rows of 40 bytes for each distinct fingerprint, no texts. A cell is
-worked on in one task, 40 bytes a fingerprint. Groups are rows (document, class), never
+Shuffled are 33 bytes for each distinct fingerprint and task that it takes part in, no texts:
+as many as there are blocks, or with few blocks as many as keep all cores busy. A task needs
+some 170 bytes for each fingerprint of its two blocks. The number of tasks grows as the square of that of blocks.
+Groups are rows (document, class), never
 lists. Only rows of groups with more than one document go through a join in ``near_dedup``;
 a Bloom filter over their doc_ids lets the others pass straight through.
 
@@ -41,7 +48,7 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -55,7 +62,10 @@ from .exact_dedup import first_row
 from .textops import CLASS, SPACE, SPACES, U, WORD, hashes, lowered, mix, seed64, slices, tokens
 
 BITS, MAX_BITS = 256, 44
+#: Random grids of the embedding, which found most pairs but not all (``recall``). They aren't used any more.
 AXES, GRIDS, SEED = 11, 48, 1
+#: Fingerprints of a block, parts of the least and bits of the most masks, tries for masks of even sizes.
+ROWS, FEWEST, DEEPEST, TRIES = 1 << 20, 4, 12, 100
 #: Fingerprints of a cell up to which all pairs are compared, and rows that a leader's members are compared with at once.
 SMALL, BLOCK = 64, 256
 WORDS = [f"f{i}" for i in range(BITS // 64)]
@@ -63,7 +73,7 @@ _SALT = [U(seed64("simhash", i)) for i in range(BITS // 64)]
 
 
 def recall(segments: int, grids: int = GRIDS, axes: int = AXES) -> float:
-    """The chance that a pair that differs in so many segments shares a cell."""
+    """The chance that a pair that differs in so many segments shares a cell of random grids, as the join had before ``families``."""
     return 1 - (1 - comb(BITS // 2 - segments, axes) / comb(BITS // 2, axes)) ** grids
 
 
@@ -125,16 +135,54 @@ def embed(word: Column) -> Column:
     return word.bitwiseXOR(next_bit).bitwiseAND(pairs).bitwiseOR(F.shiftleft(word.bitwiseAND(next_bit).bitwiseAND(pairs), 1))
 
 
-def cells(grids: int = GRIDS, axes: int = AXES, seed: int = SEED) -> list[Column]:
-    """The cell of an embedded fingerprint (e0 .. e3) in each grid, hashed with the grid's number."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    out = []
-    for g in range(grids):
-        masks = [0] * len(WORDS)
-        for s in rng.choice(BITS // 2, axes, replace=False).tolist():
-            masks[s // 32] |= 3 << (2 * (s % 32))
-        out.append(F.xxhash64(F.lit(g), *[F.col(f"e{i}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for i, m in enumerate(masks)]))
-    return out
+@cache
+def _masks(width: int, bits: int) -> np.ndarray:
+    """For any ``bits`` - 1 of ``width`` bits, one of these masks at least has none of them."""
+    rng, v = np.random.Generator(np.random.PCG64(width << 8 | bits)), np.arange(1, 1 << bits)
+    best, least = None, np.inf
+    for _ in range(max(1, TRIES >> max(0, bits - 8))):
+        m = rng.choice(v, width, replace=width > v.size)
+        inside = np.bitwise_count(v[:, None] & m[None]) & 1
+        shared = (0.5 ** inside.sum(axis=1)).sum()
+        if shared < least:
+            best, least = inside, shared
+    return (best.astype(U) << np.arange(width, dtype=U)[None]).sum(axis=1, dtype=U)
+
+
+@cache
+def _families(parts: int, most: int) -> list[tuple[int, int, int, np.ndarray]]:
+    border = [BITS * p // parts for p in range(parts + 1)]
+    depth = [(most + 1 + p) // parts for p in range(parts)]
+    return [(a, b - a, k - 1, _masks(b - a, k)) for a, b, k in zip(border, border[1:], depth) if k]
+
+
+def families(n: int, most: int = MAX_BITS, blocks: int = 1) -> list[tuple[int, int, int, np.ndarray]]:
+    """(first bit, width, differing bits, masks) of each part, for a table of n fingerprints.
+
+    The cost is that of sorting n rows with each block for each mask and of looking at the pairs of random
+    fingerprints that share a cell.
+    """
+    least, best = np.inf, None
+    for parts in range(FEWEST, BITS + 1):
+        if -(-(most + 1) // parts) > DEEPEST:
+            continue
+        got = _families(parts, most)
+        cost = sum(m.size * n * blocks + n * n * (0.5 ** np.bitwise_count(m)).sum() for _, _, _, m in got)
+        if cost >= least:
+            break
+        least, best = cost, got
+    if best is None:
+        raise ValueError(f"most is {most}, but at most {DEEPEST * BITS - 1} bits may differ")
+    return best
+
+
+def _part(f: np.ndarray, first: int, width: int) -> np.ndarray:
+    """Bits first to first + width (64 at most) of each fingerprint."""
+    word, at = divmod(first, 64)
+    out = f[:, word] >> U(at)
+    if at + width > 64:
+        out = out | f[:, word + 1] << U(64 - at)
+    return out & U((1 << width) - 1)
 
 
 def _lower_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,22 +231,63 @@ def _stars(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _near(key: np.ndarray, f: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, row, distance) of the pairs in equal cells; rows are in the order of ``key``."""
-    n, step = key.size, 1
-    left = np.arange(n - 1)
-    while left.size:
-        left = left[(left + step < n)]
-        left = left[key[left] == key[left + step]]
-        for part in np.array_split(left, max(1, left.size >> 19)):
-            other = part + step
-            ok = _lower_bound(f[part], f[other]) <= most
-            part, other = part[ok], other[ok]
-            d = np.bitwise_count(f[part] ^ f[other]).sum(axis=1, dtype=np.int64)
-            ok = d <= most
-            if ok.any():
-                yield part[ok], other[ok], d[ok]
-        step += 1
+def _near(f: np.ndarray, parts: list[tuple[int, int, int, np.ndarray]], most: int, own: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, distance) of the pairs within ``most`` that share a cell; a pair may come several times.
+
+    If ``own`` is less than all rows, only pairs of one of the first ``own`` rows and another one count. With
+    ``label`` only pairs of different groups are looked for, and it gets the least row of each row's group.
+    """
+    n = len(f)
+    low = U((1 << max(1, (n - 1).bit_length())) - 1)
+    row, odd = np.arange(n, dtype=U), U(0x9E3779B97F4A7C15)
+    for first, width, differ, masks in parts:
+        part = _part(f, first, width)
+        for mask in masks:
+            # equal keys stand together; keys that only have equal hashes are candidates too
+            s = part & mask
+            s *= odd
+            s &= ~low
+            s |= row
+            s.sort()
+            left = np.flatnonzero((s[1:] ^ s[:-1]) <= low)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            if label is not None and left.size >= SMALL:
+                run = np.flatnonzero(np.append(True, np.diff(left) > 1))
+                size = np.diff(np.append(run, left.size))
+                for at, k in zip(left[run[size >= SMALL]].tolist(), size[size >= SMALL].tolist()):
+                    rows = (s[at : at + k + 1] & low).astype(np.int64)
+                    if (label[rows] != label[rows[0]]).any():
+                        i, j = _stars(f[rows], most)
+                        found.append((rows[i], rows[j]))
+                left = left[np.repeat(size < SMALL, size)]
+            step = 1
+            while left.size:
+                i, j = (s[left] & low).astype(np.int64), (s[left + step] & low).astype(np.int64)
+                ok = np.bitwise_count(part[i] ^ part[j]) <= differ
+                if label is not None:
+                    ok &= label[i] != label[j]
+                if own < n:
+                    ok &= (i < own) != (j < own)
+                i, j = i[ok], j[ok]
+                ok = _lower_bound(f[i], f[j]) <= most
+                i, j = i[ok], j[ok]
+                d = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64)
+                ok = d <= most
+                if ok.any():
+                    i, j = i[ok], j[ok]
+                    if label is None:
+                        yield i, j, d[ok]
+                    else:
+                        found.append((i, j))
+                step += 1
+                left = left[left + step < n]
+                left = left[(s[left] ^ s[left + step]) <= low]
+            if found:
+                i, j = map(np.concatenate, zip(*found))
+                nodes, root = _forest(label[i], label[j])
+                to = np.arange(n)
+                to[nodes] = root
+                label[:] = to[label]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,49 +305,50 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def near_pairs(reps: DataFrame, most: int = MAX_BITS, grids: int = GRIDS, axes: int = AXES, forest: bool = False) -> DataFrame:
-    """(a, b, distance) of the accepted pairs of distinct fingerprints (f0 .. f3) by their nodes, a < b; a pair may come from several grids.
+def near_pairs(reps: DataFrame, most: int = MAX_BITS, forest: bool = False, rows: int = ROWS) -> DataFrame:
+    """(a, b, distance) of all pairs of distinct fingerprints (f0 .. f3) within ``most``, by their nodes, a < b; a pair may come several times.
 
     With ``forest`` each task gives only edges that connect what its pairs connect.
     """
+    spark = reps.sparkSession
+    n = reps.count()
+    blocks = max(1, -(-n // rows))
+    parts = families(n, most, blocks)
+    pairs = blocks * (blocks + 1) // 2
+    # few blocks share the masks out, so that all cores have work
+    shares = max(1, min(-(-3 * spark.sparkContext.defaultParallelism // pairs), sum(m.size for *_, m in parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        t = pa.Table.from_batches(rows)
-        key, f = t.column(0).to_numpy(), np.stack([t.column(1 + i).to_numpy().view(U) for i in range(len(WORDS))], axis=1)
-        del t, rows
-        order = np.argsort(key, kind="stable")
-        key, f = key[order], f[order]
-        node = node_of(f).view(np.int64)
-        kept, held, large = [], 0, []
-        if forest:  # large cells apart
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(first, key.size))
-            many = size > SMALL
-            large = [_stars(f[i : i + n], most) + (i,) for i, n in zip(first[many].tolist(), size[many].tolist())]
-            large = [(a + i, b + i, np.zeros(a.size, np.int64)) for a, b, i in large]
-            few = np.flatnonzero(np.repeat(~many, size))
-            small = ((few[i], few[j], d) for i, j, d in _near(key[few], f[few], most))
-        for i, j, d in chain(large, small) if forest else _near(key, f, most):
-            lo, hi = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            if not forest:
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
-                continue
-            kept.append((lo, hi))
-            held += lo.size
-            if held > 1 << 21:
-                hi, lo = _forest(*map(np.concatenate, zip(*kept)))
-                kept, held = [(lo[lo != hi], hi[lo != hi])], 0
-        if kept:
-            hi, lo = _forest(*map(np.concatenate, zip(*kept)))
-            lo, hi = lo[lo != hi], hi[lo != hi]
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(np.zeros(lo.size, np.int32))], ["a", "b", "distance"])
-
-    placed = reps.select(*WORDS, *[embed(F.col(w)).alias(f"e{i}") for i, w in enumerate(WORDS)])
-    placed = placed.select(F.explode(F.array(*cells(grids, axes))).alias("cell"), *WORDS)
-    return placed.repartition("cell").mapInArrow(run, "a long, b long, distance int")
+        t = pa.Table.from_batches(got)
+        task, mine, words = t.column(0).to_numpy(), t.column(1).to_numpy(), np.stack([t.column(2 + i).to_numpy().view(U) for i in range(len(WORDS))], axis=1)
+        del t, got
+        for one in np.unique(task).tolist():
+            # rows of the task's first block come first
+            at = np.flatnonzero(task == one)
+            at = np.concatenate([at[mine[at]], at[~mine[at]]])
+            f, own, share = words[at], int(np.count_nonzero(mine[at])), one % shares
+            node = node_of(f).view(np.int64)
+            some = [(a, w, k, m[share::shares]) for a, w, k, m in parts]
+            label = np.arange(len(f)) if forest else None
+            for i, j, d in _near(f, some, most, own, label):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
+            if forest:
+                i = np.flatnonzero(label != np.arange(len(f)))
+                j = label[i]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(np.zeros(i.size, np.int32))], ["a", "b", "distance"])
+
+    block = F.pmod(F.xxhash64(*WORDS), F.lit(blocks)).cast("int")
+    placed = reps.select(*WORDS, block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1))).alias("k"))
+    # the pair of blocks lo <= hi is the one after all those of a lesser lo
+    other = F.expr(f"k div {shares}").cast("int")
+    lo, hi = F.least("block", other), F.greatest("block", other)
+    pair = F.expr("lo * (2 * blocks - lo + 1) div 2 + hi - lo")
+    placed = placed.select(*WORDS, "block", "k", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), F.lit(blocks).cast("long").alias("blocks"))
+    placed = placed.select((pair * shares + F.col("k") % shares).alias("task"), (F.col("block") == F.col("lo")).alias("mine"), *WORDS)
+    return placed.repartitionById(pairs * shares, F.col("task").cast("int")).mapInArrow(run, "a long, b long, distance int")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -184,6 +184,39 @@ def test_recall_has_the_bound_that_is_stated():
         assert abs(np.mean([any(not g & x for g in grids) for x in differ]) - simhash.recall(s)) < 0.05
 
 
+def far_apart(seed, n=60):
+    """Fingerprints in pairs, each as far apart as pairs may be and in as many segments; all other distances are larger."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**64, (n, 4), dtype=np.uint64)
+    b = a.copy()
+    for i, row in enumerate(b):
+        for at in rng.choice(128, simhash.MAX_BITS - i % 3, replace=False).tolist():
+            row[at // 32] ^= np.uint64(1 << (2 * (at % 32) + int(rng.integers(0, 2))))
+    return a, b
+
+
+@pytest.mark.parametrize("forest", [False, True])
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_no_pair_within_the_distance_is_left_out(spark, forest, blocks):
+    a, b = far_apart(blocks)
+    f = np.concatenate([a, b])
+    df = spark.createDataFrame(f.view(np.int64).tolist(), ", ".join(f"{w} long" for w in simhash.WORDS))
+    pairs = simhash.near_pairs(df, forest=forest, **({"rows": -(-len(f) // blocks)} if blocks > 1 else {})).collect()
+    i, j = (simhash.node_of(x).view(np.int64).tolist() for x in (a, b))
+    assert {frozenset((r["a"], r["b"])) for r in pairs} == {frozenset(p) for p in zip(i, j)}
+    assert all(r["a"] < r["b"] for r in pairs)
+
+
+@pytest.mark.parametrize("n, most", [(1, 44), (10**5, 44), (10**7, 44), (1000, 0), (1000, 3), (1000, 100)])
+def test_some_mask_has_none_of_the_bits_that_differ(n, most):
+    rng, parts = np.random.default_rng(most), simhash.families(n, most)
+    assert sum(k + 1 for _, _, k, _ in parts) == most + 1
+    for _, width, k, masks in parts:
+        for _ in range(300):
+            bits = sum(1 << x for x in rng.choice(width, min(k, width), replace=False).tolist())
+            assert (masks & np.uint64(bits) == 0).any()
+
+
 def test_near_dedup_of_awkward_rows(spark):
     df = awkward(spark)
     out = simhash.near_dedup(df)
