@@ -16,7 +16,7 @@ import sentencepiece
 from cases import awkward, empty, words
 from pyspark.sql import functions as F
 
-from lumenquarry.llm import audio, pieces, quality, tokencount, toxicity, vocabulary
+from lumenquarry.llm import audio, pieces, quality, simhash, tokencount, toxicity, vocabulary
 from lumenquarry.llm.queries import QUERIES
 from lumenquarry.llm.textops import hashes, mix, slices
 
@@ -575,3 +575,26 @@ def test_pipeline_stages_on_awkward_rows(spark):
         assert stage(spark, df, SF).columns == df.columns, name
         assert stage(spark, empty(df), SF).count() == 0, name
     assert p.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
+@pytest.mark.skipif(not Path(__file__).parents[2].joinpath("corpus_pipeline.py").exists(), reason="the pipeline isn't there")
+def test_near_copies_at_the_largest_distance_leave_one(spark):
+    """The stage keeps the least document of each group that all pairs make, also where they differ as much as they may."""
+    import corpus_pipeline as p
+
+    rng, rows = random.Random(3), []
+    of = lambda texts: np.concatenate([simhash.fingerprint(data, off) for _, _, data, off in slices(pa.array(texts, pa.large_string()))])
+    while len(rows) < 80:
+        first = words(rng, 60)
+        edits = []
+        for _ in range(40):
+            w = first.split()
+            for at in rng.sample(range(60), 9):
+                w[at] = words(rng, 1)
+            edits.append(" ".join(w))
+        d = np.bitwise_count(of(edits) ^ of([first])).sum(axis=1)
+        far = np.flatnonzero((d >= simhash.MAX_BITS - 4) & (d <= simhash.MAX_BITS))
+        if far.size:
+            rows += [(len(rows), first, "en", "s", 0), (len(rows) + 1, edits[far[0]], "en", "s", 0)]
+    kept = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 80, 2))
