@@ -99,7 +99,36 @@ def agenda(v: Vocabulary, symbols: list[int], key: int, dropout: float, pairs: d
     return [(s, i) for i, s in enumerate(sym) if s is not None]
 
 
-def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Slots:
+    """Places of keys in an array, by a table of their hashes: most keys aren't there, which an empty slot tells at once."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = (8 * keys.size + 8).bit_length()
+        self.keys, self.shift, self.last = np.append(keys, -1), U(64 - bits), (1 << bits) - 1
+        self.at = np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(keys.size), self.slots(keys)
+        while left.size:
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]
+            more = self.at[slot] != left
+            left, slot = left[more], slot[more] + 1 & self.last
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(U) * U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't."""
+        slot = self.slots(keys)
+        out = self.at[slot]
+        more = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while more.size:
+            slot[more] = slot[more] + 1 & self.last
+            out[more] = self.at[slot[more]]
+            more = more[(out[more] >= 0) & (self.keys[out[more]] != keys[more])]
+        return out
+
+
+def _merged(v: Vocabulary, slots: Slots, sym: np.ndarray, word: np.ndarray, start: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segments of many pre-tokens (id, word, first character) and the merges made (word, borders in order).
 
     It goes in rounds of one merge for each word; ``barred`` has the sorted word << 18 | borders of what never merges.
@@ -115,7 +144,7 @@ def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray,
         j = i[ok]
         ok = ok[(word[j] == word[j + 1]) & (sym[j] >= 0) & (sym[j + 1] >= 0)]
         j = i[ok]
-        at = vocabulary.look_up(sym[j] * v.size + sym[j + 1], v.pair_key)
+        at = slots(sym[j] * v.size + sym[j + 1])
         ok, j, at = ok[at >= 0], j[at >= 0], at[at >= 0]
         if barred.size:
             keep = vocabulary.look_up(word[j] << 18 | start[j] << 12 | end[j] << 6 | end[j + 1], barred) < 0
@@ -133,7 +162,8 @@ def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray,
             done.append((sym[~stay], word[~stay], start[~stay]))
             moved = np.cumsum(stay) - 1
             best = moved[best[live] & 0xFFFFFFFF]
-            sym, word, start, end, rank, to = sym[stay], word[stay], start[stay], end[stay], rank[stay], to[stay]
+            at = np.flatnonzero(stay)
+            sym, word, start, end, rank, to = sym[at], word[at], start[at], end[at], rank[at], to[at]
             if not sym.size:
                 break
         else:
@@ -142,9 +172,11 @@ def _merged(v: Vocabulary, sym: np.ndarray, word: np.ndarray, start: np.ndarray,
         sym[best], end[best] = to[best], end[best + 1]
         stay = np.ones(sym.size, bool)
         stay[best + 1] = False
-        best = (np.cumsum(stay) - 1)[best]
-        sym, word, start, end, rank, to = sym[stay], word[stay], start[stay], end[stay], rank[stay], to[stay]
-        again = np.unique(np.concatenate([best, best[best > 0] - 1]))
+        best = best - np.arange(best.size)  # one symbol goes for each word before
+        at = np.flatnonzero(stay)
+        sym, word, start, end, rank, to = sym[at], word[at], start[at], end[at], rank[at], to[at]
+        left = best[best > 0] - 1
+        again = np.concatenate([best, left[word[left] == word[left + 1]]])
         rank[again], to[again] = ranks(again)
     none = [np.zeros(0, np.int64)]
     out = [np.concatenate(x) for x in zip(*done)] if done else none * 3
@@ -176,7 +208,7 @@ class Segmenter:
     """
 
     def __init__(self, v: Vocabulary, dropout: float):
-        self.v, self.dropout = v, dropout
+        self.v, self.dropout, self.slots = v, dropout, Slots(v.pair_key)
         self.pairs: dict[int, tuple[int, int]] = {}
         self.clear()
 
@@ -205,7 +237,7 @@ class Segmenter:
             no.append(on << 18 | bar[on])
             bar[on], up[on] = self.barred.all[up[on]], self.parent.all[up[on]]
             on = on[up[on] >= 0]
-        sym, word, start, who, what = _merged(self.v, symbols[first[own] + k].astype(np.int64), own, k, np.sort(np.concatenate(no)) if no else np.zeros(0, np.int64))
+        sym, word, start, who, what = _merged(self.v, self.slots, symbols[first[own] + k].astype(np.int64), own, k, np.sort(np.concatenate(no)) if no else np.zeros(0, np.int64))
         ids, n = self.spelt(t, first[word] + start, word, sym, which.size)
         made = np.bincount(who, minlength=which.size)
         late = np.arange(who.size) - (np.cumsum(made) - made)[who] >= before[who]

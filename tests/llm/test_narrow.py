@@ -44,6 +44,14 @@ def encoded(v, texts, dropout, seed=5):
     return out
 
 
+def test_slots_are_the_places_of_a_search(v):
+    rng = np.random.default_rng(2)
+    for keys in (v.pair_key, np.unique(rng.integers(0, 1000, 500)), np.zeros(0, np.int64)):
+        asked = np.concatenate([keys, keys + 1, rng.integers(0, 2**40, 5000)])
+        want = vocabulary.look_up(asked, keys) if keys.size else np.full(asked.size, -1)
+        assert np.array_equal(pieces.Slots(keys)(asked), want)
+
+
 # operator 5
 
 
