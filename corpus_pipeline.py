@@ -39,10 +39,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (operator 1).
 
-    The least doc_id stays, then the least other columns; rows with a NULL text or doc_id all
-    stay, texts without a word are compared by their characters, repeated rows leave one.
+    The least doc_id stays, NULL after all others, then the least other columns; rows with a NULL
+    text all stay, texts without a word are compared by their characters, repeated rows leave one.
     """
-    return simhash.near_dedup(docs)
+    return simhash.near_dedup(docs, null_keys=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

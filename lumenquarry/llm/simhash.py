@@ -36,7 +36,8 @@ Groups are rows (document, class), never
 lists. Only rows of groups with more than one document go through a join in ``near_dedup``;
 a Bloom filter over their doc_ids lets the others pass straight through.
 
-Defined cases: NULL texts have no near copies and all stay, as do rows with a NULL doc_id;
+Defined cases: NULL texts have no near copies and all stay, as do rows with a NULL doc_id
+unless ``near_dedup`` is to compare them too (``null_keys``; they come after all others then);
 texts without a word (empty ones too) have as only feature their characters without white
 space; a very long text is one slice and needs memory in proportion to its length (some 100 bytes
 for each of its own); doc_id may be of any type that has an order; of repeated rows or of several rows with one doc_id in a group one row stays (the
@@ -387,20 +388,27 @@ def classes(docs: DataFrame, most: int = MAX_BITS, text: str = "text", key: str
     return placed.join(several, F.col("root") == F.col("r"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_class", F.lit(1).cast("bigint")).alias("n_class"))
 
 
-def near_dedup(docs: DataFrame, most: int = MAX_BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One whole row of each group of near copies, and all rows that are in none."""
-    found = classes(docs.select(col(key).alias(key), col(text).alias(text)), most, text, key)
+def near_dedup(docs: DataFrame, most: int = MAX_BITS, text: str = "text", key: str = "doc_id", null_keys: bool = False) -> DataFrame:
+    """One whole row of each group of near copies, and all rows that are in none; with ``null_keys`` rows with a NULL ``key`` are compared too."""
+    names, by = docs.columns, key
+    if null_keys and docs.where(col(key).isNull() & col(text).isNotNull()).limit(1).count():
+        # rows without a key of their own are told apart by their texts
+        (by,) = fresh(docs, "near_key")
+        digest = F.when(col(key).isNull(), F.sha2(col(text).cast("binary"), 256))
+        docs = docs.withColumn(by, F.struct(col(key).isNull().alias("no_key"), col(key).alias("key"), digest.alias("digest")))
+    found = classes(docs.select(col(by).alias(by), col(text).alias(text)), most, text, by)
     many = staged(found.where("n_class > 1").select(F.col("doc_id").alias("d"), F.col("class_id").alias("root")), "near-groups")
     (row_key,) = fresh(docs, "row_key")
     # rows that share a doc_id are a group too
-    shared = docs.select(col(key).alias("d")).where("d is not null").groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d", F.col("d").alias("root"))
+    shared = docs.select(col(by).alias("d")).where("d is not null").groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d", F.col("d").alias("root"))
     many = staged(many.union(shared.join(many, "d", "left_anti")), "near-groups")
-    mine, hashed = col(key), lambda c: F.xxhash64(F.lit("near"), c)
+    mine, hashed = col(by), lambda c: F.xxhash64(F.lit("near"), c)
     maybe = bloom.maybe(hashed(mine), bloom.containing(many.select(hashed(F.col("d")).alias("h")), many.count())) & mine.isNotNull() & col(text).isNotNull()
     (flag,) = fresh(docs, "maybe_grouped")
     marked = docs.withColumn(flag, maybe)
-    rest, some = marked.where(~F.col(flag)).drop(flag), marked.where(F.col(flag)).drop(flag)
+    own = [col(c) for c in names]
+    rest, some = marked.where(~F.col(flag)).select(*own), marked.where(F.col(flag)).drop(flag)
     groups = many.select(F.col("d").alias(fresh(docs, "group_d")[0]), F.col("root").alias(row_key))
     joined = some.join(groups, mine == F.col(groups.columns[0]), "left").drop(groups.columns[0])
-    alone = joined.where(F.col(row_key).isNull()).drop(row_key)
-    return rest.unionByName(alone).unionByName(first_row(joined.where(F.col(row_key).isNotNull()), row_key, docs.columns, text, key))
+    alone = joined.where(F.col(row_key).isNull()).select(*own)
+    return rest.unionByName(alone).unionByName(first_row(joined.where(F.col(row_key).isNotNull()), row_key, names, text, key))

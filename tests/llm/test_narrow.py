@@ -643,3 +643,26 @@ def test_near_copies_at_the_largest_distance_leave_one(spark):
             rows += [(len(rows), first, "en", "s", 0), (len(rows) + 1, edits[far[0]], "en", "s", 0)]
     kept = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 80, 2))
+
+
+@pytest.mark.skipif(not Path(__file__).parents[2].joinpath("corpus_pipeline.py").exists(), reason="the pipeline isn't there")
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_copies_without_an_id_leave_one(spark, kind):
+    """Rows without a doc_id are compared with all others in the stage, and stay only where no row with one is near."""
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    a, b, c, d, e = (words(rng, 80) for _ in range(5))
+    near = lambda t, k: " ".join([*t.split()[:-k], words(rng, k)])
+    both = [(9, a, "en", "s", 0), (None, near(a, 1), "en", "s", 0), (None, near(a, 2), "en", "s", 0)]
+    none = [(None, b, "en", "s", 2), (None, near(b, 2), "en", "s", 1), (None, near(b, 2), "en", "s", 3)]
+    ids = [(5, c, "en", "s", 0), (4, near(c, 2), "en", "s", 0)]
+    apart = [(None, d, "en", "s", 0), (6, e, "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0)]
+    rows = [*both, *none, *none[:1], *ids, *apart]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("near_key", F.lit(1))
+    kept = p.drop_near_copies(spark, df.repartition(3), SF)
+    assert kept.dtypes == df.dtypes
+    want = [both[0], none[1], ids[1], *apart]
+    assert Counter(tuple(r)[1:5] for r in kept.collect()) == Counter(r[1:] for r in want)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(None if r[0] is None else int(r[0]) if kind == "long" else str(r[0]) for r in want)
