@@ -15,6 +15,10 @@ from ..functions import scores as S
 from ..functions import text as X
 
 
+#: Characters of a sentence that may be a question or a direction.
+QUESTION_LENGTH, FUTURE_LENGTH = (30, 280), (40, 350)
+
+
 def _or(df: DataFrame, name: str, otherwise: Column) -> Column:
     return F.coalesce(F.col(name), otherwise) if name in df.columns else otherwise
 
@@ -29,11 +33,16 @@ def _first(df: DataFrame) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
+def _able(sent: Column, low: Column) -> Column:
+    """Whether a sentence of this key may ask a question, whatever its cue."""
+    return F.length(sent).between(*QUESTION_LENGTH) & (sent.endswith("?") | X.contains_one(low, ["we ", "aim", "hypothesi"]))
+
+
 def _asks(df: DataFrame) -> tuple[Column, Column]:
     """Whether a keyed sentence asks a question, and its signals."""
     low = F.col("key")
     hook, semantic = X.has_any(low, L.QUESTION), _or(df, "semantic_rq", F.lit(False))
-    able = F.length("sent").between(30, 280) & (F.col("sent").endswith("?") | low.rlike("we |aim|hypothesi"))
+    able = _able(F.col("sent"), low)
     return able & (hook | semantic | (_or(df, "discourse", F.lit("")) == "rq")), S.signals(hook, semantic, F.lit(False), F.lit(False))
 
 
@@ -54,7 +63,7 @@ def limitations(sentences: DataFrame) -> DataFrame:
 
 
 def _future_candidates(sentences: DataFrame, threshold: float) -> DataFrame:
-    df = _keyed(sentences.where(F.length("sent").between(40, 350))).withColumn("is_ref", X.looks_like_reference(F.col("sent")))
+    df = _keyed(sentences.where(F.length("sent").between(*FUTURE_LENGTH))).withColumn("is_ref", X.looks_like_reference(F.col("sent")))
     low = F.col("key")
     hook, modal, will = X.has_any(low, L.FUTURE), X.has_any(F.concat(F.lit(" "), low, F.lit(" ")), L.MODAL), X.will_infinitive(low)
     semantic, labelled = _or(df, "semantic_future", F.lit(False)), _or(df, "discourse", F.lit("")) == "future"
@@ -69,14 +78,15 @@ def _by_rules(df: DataFrame) -> bool:
     return not {"semantic_future", "discourse", "ml_score"} & set(df.columns)
 
 
-def future_directions(sentences: DataFrame, threshold: float = 0.7, context: DataFrame | None = None) -> DataFrame:
+def future_directions(sentences: DataFrame, threshold: float = 0.7, context: DataFrame | None = None, by_key: bool = False) -> DataFrame:
     """The first sentence of each key, where it passes the gate.
 
     The key is settled before the gate. Rules see the key only, so that all rows of a key
-    pass or none does, and the gate may go first; with a model it mustn't.
+    pass or none does, and the gate may go first; with a model it mustn't, unless the caller
+    knows that it says the same of all sentences of a key (``by_key``).
     """
     df = _future_candidates(sentences, threshold).where("not is_ref")
-    df = _first(df.where("keep")) if _by_rules(sentences) else _first(df).where("keep")
+    df = _first(df.where("keep")) if by_key or _by_rules(sentences) else _first(df).where("keep")
     s = F.col("signals")
     sure = s.will_infinitive | s.semantic | F.col("labelled") | (F.coalesce(s.classifier_score, F.lit(0.0)) >= 0.85)
     if context is not None:
@@ -98,6 +108,26 @@ def rejected(sentences: DataFrame, threshold: float = 0.7) -> DataFrame:
     return df.select("doc_id", "sent_index", F.when(F.col("is_ref"), "future_dir_reject_ref").otherwise("future_dir_reject").alias("reason"), "sent")
 
 
+def _looks_ahead(sent: Column, low: Column) -> Column:
+    """The gate of future directions by the rules."""
+    hook, modal = X.has_any(low, L.FUTURE), X.has_any(F.concat(F.lit(" "), low, F.lit(" ")), L.MODAL)
+    return F.length(sent).between(*FUTURE_LENGTH) & hook & (modal | X.will_infinitive(low)) & ~X.looks_like_reference(sent)
+
+
+#: For ``sections.explode_parts``: the gates of the rules for questions, limitations and directions, before and after the key is known.
+GATES = {
+    "rq": (lambda sent: F.length(sent).between(*QUESTION_LENGTH), lambda sent, low: _able(sent, low) & X.has_any(low, L.QUESTION)),
+    "lim": (lambda sent: X.has_any(F.lower(sent), L.LIMIT), None),
+    "fd": (lambda sent: F.length(sent).between(*FUTURE_LENGTH), _looks_ahead),
+}
+
+
+def from_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, limitations and directions by the rules, from ``sections.explode_parts`` with the parts rq, lim and fd."""
+    of = lambda name: parts.where(F.col("part") == name).drop("part")
+    return research_questions(of("rq")), limitations(of("lim")), future_directions(of("fd"))
+
+
 def counted(parts: DataFrame) -> DataFrame:
     """(doc_id, n_rq, n_lim, n_fd, n_steps) by the rules, from ``sections.explode_parts`` with the parts rq, lim and fd.
 
@@ -106,8 +136,7 @@ def counted(parts: DataFrame) -> DataFrame:
     """
     low, part = F.col("key"), F.col("part")
     lim = X.has_any(F.lower("sent"), L.LIMIT)
-    hook, modal = X.has_any(low, L.FUTURE), X.has_any(F.concat(F.lit(" "), low, F.lit(" ")), L.MODAL)
-    future = F.length("sent").between(40, 350) & hook & (modal | X.will_infinitive(low)) & ~X.looks_like_reference(F.col("sent"))
+    future = _looks_ahead(F.col("sent"), low)
     said = F.lower("sent")
     item = F.when((part == "rq") & _asks(parts)[0], F.struct(F.lit("rq").alias("part"), low.alias("key"), F.lit(0).alias("at"), F.lit(False).alias("step")))
     item = item.when((part == "fd") & future, F.struct(F.lit("fd").alias("part"), low.alias("key"), F.lit(0).alias("at"), F.lit(False).alias("step")))

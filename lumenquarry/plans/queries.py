@@ -127,11 +127,16 @@ def priority_topn(spark, sf_dir):
     return steps.top_steps(_steps(spark, sf_dir), 3).select("doc_id", "rank", "question", "priority")
 
 
-def _counted(spark, sf_dir):
-    """All counts of each document, from one pass over the texts."""
-    docs = seeded(spark, sf_dir).select("doc_id", "text", sections.split_sections(F.col("text")).alias("s"))
+def _parts(docs: DataFrame) -> DataFrame:
+    """The sentences that pass as a question, limitation or direction, from one pass over the texts."""
+    docs = docs.select("doc_id", "text", sections.split_sections(F.col("text")).alias("s"))
     s = F.col("s")
-    return extract.counted(sections.explode_parts(docs, {"rq": sections.question_bucket(s), "lim": sections.limitation_bucket(s), "fd": F.col("text")}))
+    return sections.explode_parts(docs, {"rq": sections.question_bucket(s), "lim": sections.limitation_bucket(s), "fd": F.col("text")}, gates=extract.GATES)
+
+
+def _counted(spark, sf_dir):
+    """All counts of each document."""
+    return extract.counted(_parts(seeded(spark, sf_dir)))
 
 
 def _totals(spark, sf_dir):

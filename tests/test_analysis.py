@@ -228,3 +228,20 @@ def test_classifier(spark, tmp_path):
     assert r["auc"] == 1.0 and r["accuracy"] == 1.0
     model.save(str(tmp_path / "m"))
     assert len(ml.CalibratedClassifier.load(str(tmp_path / "m")).models) == 3
+
+
+def test_parts_are_gated_before_they_are_rows(spark):
+    """One pass finds what three do, repetitions, citations and documents without any included."""
+    from lumenquarry.operators import extract, sections
+    from lumenquarry.plans import queries as Q
+
+    texts = [*Q.PASSAGES, "", None, "We ask  whether [12] it works in adults? We ask whether it works in adults?", "future\twork should be examined in greater detail here. Future work (3) should be examined in greater detail here."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = Q._parts(docs)
+    assert parts.count() < 40 and {r["doc_id"] for r in parts.collect()} == set(range(len(texts)))
+    cut = docs.select("doc_id", "text", sections.split_sections(F.col("text")).alias("s"))
+    q = extract.research_questions(sections.explode_sentences(cut, sections.question_bucket(F.col("s"))))
+    lim = extract.limitations(sections.explode_sentences(cut, sections.limitation_bucket(F.col("s"))))
+    f = extract.future_directions(sections.explode_sentences(cut, F.col("text")))
+    for mine, whole in zip(extract.from_parts(parts.where("part is not null")), (q, lim, f)):
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, whole.collect())) and whole.count() > 2

@@ -93,3 +93,27 @@ def test_openalex(spark):
     oa = one(spark, S.openalex(F.col("w")), w=work)
     assert (oa["openalex_id"], oa["year"], oa["concepts"], oa["related_ids"], oa["authors"]) == ("W1", 2020, ["c"], ["W2"], ["A"])
     assert one(spark, S.openalex(F.lit("nothing"))) is None
+
+
+def test_hints_rule_nothing_out(spark):
+    """The searches before an alternation let every phrase pass, alone and within others, and are far fewer."""
+    for phrases in (L.FUTURE, L.QUESTION, L.LIMIT, L.MODAL):
+        assert all(any(h in p for h in L.hints(phrases)) for p in phrases) and len(L.hints(phrases)) <= len(phrases)
+        said = spark.createDataFrame([(f"x{a}y",) for a in phrases] + [(a[1:],) for a in phrases] + [(a.replace(" ", "  "),) for a in phrases] + [("",), ("plain words",)], "t string")
+        got = said.select(X.has_any(F.col("t"), phrases).alias("a"), F.col("t").rlike(L.any_of(phrases)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got) and len({r["b"] for r in got}) == 2
+    lines = [p for _, needs in L.SECTIONS for w in ("open", "outstanding", "remaining") for p in needs[0].replace("(?:open|outstanding|remaining)", w).split("|")]
+    assert "outstanding question" in lines and all(any(h in p for h in sections.HINTS) for p in lines)
+
+
+def test_white_space_before_a_line_end_that_is_kept(spark):
+    """A next-line character isn't white space, so what stands before it isn't at the end."""
+    assert one(spark, X.strip(F.col("t")), t=" a \u0085") == "a \u0085"
+    assert one(spark, X.dedup_key(F.col("t")), t=" A\t\x0b[1 ] b  ") == "a b  "
+    assert one(spark, X.strip(F.lit(None).cast("string"))) is None
+
+
+def test_dear_patterns_are_tried_after_searches(spark):
+    """The alternation of cue phrases comes after plain searches, and the key is worked out once."""
+    plan = spark.range(1).select(X.has_any(X.dedup_key(F.concat(F.lit("a"), F.col("id").cast("string"))), L.FUTURE).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" in plan and plan.index("exists(") < plan.index("RLIKE") and plan.count("lower(") == 1
