@@ -9,11 +9,11 @@ from ..functions import lexicon as L
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import context, extract, sections, steps
-from ..shared import fresh_path
+from ..shared import fresh_path, staged
 from ..sources import labels as label_source
 from ..sources import papers, sinks
 from . import analyze
-from .queries import _future, _limits, _questions, _sectioned, label_clean, seeded, table
+from .queries import _future, _limits, _parts, _questions, _sectioned, label_clean, seeded, table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SIMILAR_LETTERS = 0.93
@@ -128,9 +128,9 @@ def paper_lines(spark, sf_dir):
 
 
 def summary_markdown(spark, sf_dir):
-    """The markdown of every paper."""
+    """The markdown of every paper; what is said in it comes from one pass over the texts."""
     p = papers.enrich(as_papers(spark, sf_dir))
-    q, lim, f = _questions(spark, sf_dir), _limits(spark, sf_dir), _future(spark, sf_dir)
+    q, lim, f = extract.from_parts(staged(_parts(seeded(spark, sf_dir)).where("part is not null"), "found"))
     md = sinks.summary(p, q, lim, steps.next_steps(q, lim), f)
     return md.select("doc_id", F.length("markdown").cast("bigint").alias("n_chars"), digest(F.col("markdown")).alias("digest"))
 

@@ -245,3 +245,12 @@ def test_parts_are_gated_before_they_are_rows(spark):
     f = extract.future_directions(sections.explode_sentences(cut, F.col("text")))
     for mine, whole in zip(extract.from_parts(parts.where("part is not null")), (q, lim, f)):
         assert sorted(map(repr, mine.collect())) == sorted(map(repr, whole.collect())) and whole.count() > 2
+
+
+@pytest.mark.parametrize("name", ["summary_markdown"])
+def test_papers_are_split_once(spark, name):
+    """What is shown of papers comes from one pass that is written and read: no plan after it cuts a text."""
+    from lumenquarry.plans.records import RECORDS
+
+    plan = RECORDS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^.!?]" not in plan and "split(" not in plan
