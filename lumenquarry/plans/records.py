@@ -136,10 +136,12 @@ def summary_markdown(spark, sf_dir):
 
 
 def first_papers(spark, sf_dir):
-    """What the terminal shows: five papers with three items each."""
+    """What the terminal shows: five papers with three items each. All papers are ranked; what isn't shown isn't extracted first."""
     p = papers.enrich(as_papers(spark, sf_dir))
-    q, lim = _questions(spark, sf_dir), _limits(spark, sf_dir)
-    shown = sinks.show(p, q, _future(spark, sf_dir), steps.next_steps(q, lim))
+    first = p.select("doc_id").orderBy("doc_id").limit(5).distinct()
+    own = seeded(spark, sf_dir).join(F.broadcast(first), "doc_id", "left_semi")  # five rows
+    q, lim, f = extract.from_parts(staged(_parts(own).where("part is not null"), "found"))
+    shown = sinks.show(p, q, f, steps.next_steps(q, lim))
     line = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), "|").alias(c)
     return shown.select("doc_id", "header", line("questions"), line("future"), line("steps"))
 

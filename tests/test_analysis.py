@@ -247,10 +247,19 @@ def test_parts_are_gated_before_they_are_rows(spark):
         assert sorted(map(repr, mine.collect())) == sorted(map(repr, whole.collect())) and whole.count() > 2
 
 
-@pytest.mark.parametrize("name", ["summary_markdown"])
+@pytest.mark.parametrize("name", ["summary_markdown", "first_papers"])
 def test_papers_are_split_once(spark, name):
     """What is shown of papers comes from one pass that is written and read: no plan after it cuts a text."""
     from lumenquarry.plans.records import RECORDS
 
     plan = RECORDS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "[^.!?]" not in plan and "split(" not in plan
+
+
+def test_first_papers_are_chosen_before_the_work(spark, monkeypatch):
+    from lumenquarry.plans import records
+
+    seen = []
+    monkeypatch.setattr(records, "staged", lambda df, tag: seen.append(df) or df)
+    records.first_papers(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and 0 < seen[0].select("doc_id").distinct().count() <= 5
