@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,22 @@ def embedded(sentences: DataFrame, embedder: Embedder, text: str = "sent", out:
     return sentences.withColumn(out, embed(F.col(text)))
 
 
+def says(text: Column, embedder: Callable[[list[str]], np.ndarray], prototypes: list[list[float]], threshold: float = L.SIMILAR) -> Column:
+    """Whether a prototype is similar enough, as ``semantic`` has it, where nothing else takes the vectors: they stay in the Python worker, batch by batch."""
+    p = np.asarray(prototypes, np.float64)
+    norm = np.sqrt((p * p).sum(axis=1))
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            v = np.asarray(embedder(s.tolist()), np.float64)
+            size = np.sqrt((v * v).sum(axis=1))[:, None] * norm
+            cosine = np.divide(v @ p.T, size, out=np.zeros_like(size), where=size > 0)
+            yield pd.Series((cosine >= threshold).any(axis=1))
+
+    return near(text)
+
+
 def semantic(sentences: DataFrame, prototypes: dict[str, list[list[float]]], threshold: float = L.SIMILAR, vector: str = "vector") -> DataFrame:
     """``sentences`` with semantic_rq, semantic_limit and semantic_future: whether a prototype is similar enough."""
     names = {"rq": "semantic_rq", "limit": "semantic_limit", "future": "semantic_future"}

@@ -263,3 +263,16 @@ def test_first_papers_are_chosen_before_the_work(spark, monkeypatch):
     monkeypatch.setattr(records, "staged", lambda df, tag: seen.append(df) or df)
     records.first_papers(spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and 0 < seen[0].select("doc_id").distinct().count() <= 5
+
+
+def test_vectors_stay_in_the_worker(spark):
+    """The gate in Python says what the one over vectors says; of the sentences only one bit comes back, and the gate goes before the shuffle."""
+    from lumenquarry.plans import analyze, records
+
+    p = [records.letters_of(t) for t in L.PROTOTYPES["future"]]
+    said = [*L.PROTOTYPES["future"], "", "123 .", "zzz", "Future work should examine this mechanism.", "Kelvin İ é future studies should examine ß", *[t[:n] for t in L.PROTOTYPES["limit"] for n in (3, 17, 60)]]
+    rows = spark.createDataFrame([(t, records.letters_of(t)) for t in said], "sent string, vector array<double>")
+    got = analyze.semantic(rows, {"future": p}, 0.93).withColumn("own", analyze.says(F.lower("sent"), records.letters(), p, 0.93)).collect()
+    assert all(r["own"] == r["semantic_future"] for r in got) and {r["own"] for r in got} == {True, False}
+    plan = records.RECORDS["semantic_future"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(" not in plan.replace("regexp_replace(", "") and plan.index("Window [") < plan.index("ArrowEvalPython")
